@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one step of a vectorised operator works on at a time.
 STEP_BYTES = 6 << 20
@@ -22,17 +22,21 @@ MEMO_LIMIT = 1_000_000
 U64 = np.uint64
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back, its lineage cut.
+def shared_folder(session: SparkSession) -> str:
+    """The checkpoint folder that driver and executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests on one machine)
-    a temporary folder is made.
+    It is the session's ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a temporary folder
+    is made.
     """
-    session = df.sparkSession
     sc = session.sparkContext
     if sc.getCheckpointDir() is None:
-        where = session.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(session.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and read back, its lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, simhash, substrings, tokens, topk
+from . import chat, decontaminate, mixing, pii, quality, simhash, substrings, tokens, topk, webtext
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(rows, rows.where("vec_id % 50 = 0"), k=5)
 
 
+def op2_web_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webtext.main_texts(table(spark, sf_dir, "pages"), webtext.train())
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_substrings(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -34,6 +38,10 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", F.explode("contamination").alias("c")).select("doc_id", "c.*")
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"), pii.train())
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -45,7 +53,16 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op3_substring_dedup, op4_chat_format, op5_benchmark_decontamination, op7_token_counts, op8_simhash_near_dedup)}
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in a mix whose sources weigh the square root of their size."""
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "source", "mix_phase", "mix_slot", "mix_position")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_web_text, op3_substring_dedup, op4_chat_format, op5_benchmark_decontamination, op6_personal_data, op7_token_counts, op8_simhash_near_dedup, op9_source_mix, op10_quality)}
 
 ORACLE: dict[str, str] = {
     "op1_exact_topk": """

@@ -28,7 +28,8 @@ from itertools import accumulate, product
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ._common import as_bytes, checkpoint, steps
 from .components import components
@@ -147,3 +148,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     names = joined.join(least, "root").select("fp", "component_id")
     return fps.join(names, "fp").select("doc_id", "fp", "component_id")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs`` that stay when one document of each component does: the one with the smallest doc_id.
+
+    Rows that repeat a doc_id and its text are one document. Of a component without any doc_id one row stays. The rows' columns
+    are unchanged.
+    """
+    slim = checkpoint(fingerprints(docs, id_col, text))
+    first = slim.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    roots = components(links(slim.select("fp").distinct(), radius))
+    joined = first.join(roots, first.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    stay = checkpoint(joined.groupBy("root").agg(F.min(F.struct(F.isnull("first").alias("none"), "first", "fp")).alias("m")).select("m.*"))
+    named = docs.where(F.col(id_col).isNotNull()).withColumn("__sh_id", F.col(id_col).cast("long"))
+    named = named.join(stay.where("NOT none").select(F.col("first").alias("__sh_id")).distinct(), "__sh_id", "left_semi")
+    order = Window.partitionBy("__sh_id", F.xxhash64(F.col(text))).orderBy(F.lit(0))
+    named = named.withColumn("__sh_row", F.row_number().over(order)).where("__sh_row = 1")
+    lone = docs.where(F.col(id_col).isNull()).withColumn("__sh_id", F.lit(None).cast("long"))
+    lone = with_fingerprint(lone, text).join(stay.where("none").select(F.col("fp").alias("__sh_fp")), "__sh_fp", "left_semi")
+    lone = lone.withColumn("__sh_row", F.row_number().over(Window.partitionBy("__sh_fp").orderBy(F.lit(0)))).where("__sh_row = 1")
+    return named.select(*docs.columns).unionByName(lone.select(*docs.columns))
+
+
+def with_fingerprint(docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` with the column __sh_fp."""
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, text):
+            got = np.array([fingerprint(x) for x in as_bytes(batch.column(at))], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got)], names=[*batch.schema.names, "__sh_fp"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__sh_fp", LongType())]))
