@@ -1,17 +1,16 @@
-"""All registered queries of the reference-equivalent operators and their SQL twins."""
+"""All registered queries of the library's own operators and their SQL twins."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import benchmarks, caches, control, gate, manifests, requests, rewriting, routes, signals_plans, telemetry
+from .registry import ORACLE, QUERIES, Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
+MODULES = (requests, signals_plans, manifests, routes, rewriting, gate, caches, telemetry, benchmarks, control)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
