@@ -6,6 +6,7 @@ import hashlib
 import json
 import re
 import zlib
+from collections import Counter
 from os.path import commonprefix
 
 import numpy as np
@@ -91,6 +92,20 @@ def json_minify(text: pd.Series) -> pd.Series:
     return text.map(minify)
 
 
+def bag_cosine(a: str | None, b: str | None) -> float:
+    """Cosine of the numbers of lower-case ASCII words: a bag of words that needs no vocabulary; 0 if either has none."""
+    x, y = (Counter(re.findall("[a-z]+", (t or "").lower())) for t in (a, b))
+    if not x or not y:
+        return 0.0
+    inner = sum(n * y[w] for w, n in x.items() if w in y)
+    return inner / (sum(n * n for n in x.values()) ** 0.5 * sum(n * n for n in y.values()) ** 0.5)
+
+
+@F.pandas_udf(DoubleType())
+def text_cosine(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([bag_cosine(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
 def lcs(a: list[str], b: list[str]) -> int:
     """Length of the longest common subsequence, one row of memory."""
     row = np.zeros(len(b) + 1, dtype=np.int64)
@@ -111,7 +126,7 @@ def rouge(a: str | None, b: str | None) -> float:
 
 @F.pandas_udf(DoubleType())
 def rouge_l(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([rouge(x, y) for x, y in zip(a, b, strict=True)])
+    return pd.Series([rouge(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 @F.pandas_udf(LongType())

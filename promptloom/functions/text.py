@@ -150,7 +150,7 @@ def tidy(text: Column) -> Column:
 
 def depad_tables(text: Column) -> Column:
     """Cells of lines that begin with a bar stripped."""
-    line = lambda x: F.when(F.ltrim(x).startswith("|"), F.array_join(F.transform(F.split(x, r"\|", -1), F.trim), "|")).otherwise(x)
+    line = lambda x: F.when(F.ltrim(x).startswith("|"), F.array_join(F.transform(F.split(x, r"\|", -1), lambda c: F.trim(c)), "|")).otherwise(x)
     return F.array_join(F.transform(F.split(text, "\n", -1), line), "\n")
 
 
@@ -162,10 +162,3 @@ def answer_tokens(text: Column) -> Column:
     """Lower case, no ASCII punctuation, no articles."""
     bare = F.regexp_replace(F.regexp_replace(F.lower(text), r"""[!-/:-@\[-`{-~]""", ""), r"(?U)\b(a|an|the)\b", " ")
     return words(bare)
-
-
-def term_counts(text: Column) -> Column:
-    """Map from lower-case ASCII word to its number: a bag of words without a vocabulary."""
-    found = F.regexp_extract_all(F.lower(text), F.lit("([a-z]+)"), 1)
-    kinds = F.array_distinct(found)
-    return F.map_from_arrays(kinds, F.transform(kinds, lambda k: F.size(F.filter(found, lambda w: w == k)).cast("double")))
