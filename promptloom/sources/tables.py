@@ -50,6 +50,11 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "events").selectExpr(*(f"{e} AS {n}" for n, e in REQUEST_LOG.items()))
 
 
+def micros(column: str = "ts") -> str:
+    """SQL for microseconds since 1970 of a timestamp without time zone, whatever the session's zone is."""
+    return f"unix_date(CAST({column} AS DATE)) * 86400000000 + CAST(hour({column}) * 3600 + minute({column}) * 60 AS BIGINT) * 1000000 + CAST(extract(SECOND FROM {column}) * 1000000 AS BIGINT)"
+
+
 def quoted(value: object) -> str:
     """A literal that either engine reads; line ends go by their code point, since only one of them knows escapes."""
     if value is None:
