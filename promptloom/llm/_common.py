@@ -12,11 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one step of a vectorised operator works on at a time.
-STEP_BYTES = 6 << 20
+STEP_BYTES = 3 << 20
 #: Entries after which a worker's memo of words is emptied.
 MEMO_LIMIT = 1_000_000
 U64 = np.uint64
@@ -57,8 +58,8 @@ def steps(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBat
         if not n:
             continue
         at = batch.schema.get_field_index(text)
-        sizes = np.array([len(x) for x in as_bytes(batch.column(at))], dtype=np.int64)
-        step = np.cumsum(sizes) // STEP_BYTES
+        sizes = pc.fill_null(pc.binary_length(batch.column(at).cast(pa.binary())), 0).to_numpy(zero_copy_only=False)
+        step = np.cumsum(sizes, dtype=np.int64) // STEP_BYTES
         cuts = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), n]
         for a, b in zip(cuts, cuts[1:], strict=False):
             if b > a:

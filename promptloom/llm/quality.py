@@ -58,9 +58,9 @@ AGAIN = vectors(np.array([xxhash.xxh64_intdigest(b"again", 3)], dtype=U64))[0]
 class Words(dict):
     """Memo from word to a row of feature hashes (and its row in the vocabulary); emptied when full."""
 
-    def __init__(self, vocabulary: dict[bytes, int] | None = None):
+    def __init__(self, vocabulary: dict[bytes, int] | None = None, limit: int = MEMO_LIMIT // 4):
         super().__init__()
-        self.vocabulary = vocabulary or {}
+        self.vocabulary, self.limit = vocabulary or {}, limit
         self.columns = [array("Q"), array("Q"), array("Q"), array("q")]
 
     def __missing__(self, word: bytes) -> int:
@@ -71,7 +71,7 @@ class Words(dict):
         return value
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) >= MEMO_LIMIT // 4:
+        if len(self) > self.limit:
             self.clear()
             self.columns = [array("Q"), array("Q"), array("Q"), array("q")]
         return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
@@ -97,38 +97,36 @@ def pooled(texts: list[bytes], memo: Words, context: np.ndarray) -> np.ndarray:
     out[:, :DIMS] += again[:, None] * AGAIN
     row = vocabulary[what]
     known = np.flatnonzero(row >= 0)
-    for at in range(0, len(known), 1 << 16):
-        part = known[at : at + (1 << 16)]
+    for at in range(0, len(known), 1 << 14):
+        part = known[at : at + (1 << 14)]
         heads = np.flatnonzero(np.diff(who[part], prepend=-1))
-        out[who[part][heads], DIMS:] += np.add.reduceat(context[row[part]] * count[part, None], heads, axis=0)
+        out[who[part][heads], DIMS:] += np.add.reduceat(context[row[part]] * count[part, None].astype(np.float32), heads, axis=0)
     return out / np.maximum(1, lengths)[:, None]
 
 
 def learn_context(texts: list[bytes]) -> tuple[dict[bytes, int], np.ndarray]:
-    """Vocabulary and unit context vectors of the labelled sample."""
-    memo = Words()
-    words = [t.lower().split() for t in texts]
-    ids = memo.of([w for ws in words for w in ws])
-    if not len(ids):
+    """Vocabulary and unit context vectors of the labelled sample. Texts become numbers one by one, so only these are held at once."""
+    memo = Words(limit=len(texts) and sum(map(len, texts)))
+    parts = [memo.of(t.lower().split()).astype(np.int32) for t in texts]
+    if not sum(map(len, parts)):
         return {}, np.zeros((0, DIMS), dtype=np.float32)
-    doc = np.repeat(np.arange(len(texts)), [len(w) for w in words])
-    names = list(memo)
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), [len(p) for p in parts])
+    ids, names = np.concatenate(parts), list(memo)
     counts = np.bincount(ids, minlength=len(names))
     chosen = np.lexsort((np.arange(len(names)), -counts))[:VOCABULARY]
     row = np.full(len(names), -1)
     row[chosen] = np.arange(len(chosen))
-    index = sum(vectors(np.array(c)) for c in memo.columns[:3])
+    hashes = [np.array(c) for c in memo.columns[:3]]
+    index = np.concatenate([sum(vectors(h[k : k + 8192]) for h in hashes).astype(np.int8) for k in range(0, len(names), 8192)])
     context = np.zeros((len(chosen), DIMS))
     for reach in range(1, REACH + 1):
         for a, b in ((slice(reach, None), slice(None, -reach)), (slice(None, -reach), slice(reach, None))):
             same = (doc[a] == doc[b]) & (row[ids[a]] >= 0)
             pair, n = np.unique(row[ids[a][same]] * len(names) + ids[b][same], return_counts=True)
-            centre, near = np.divmod(pair, len(names))
-            for at in range(0, len(pair), 1 << 16):
-                c = centre[at : at + (1 << 16)]
-                heads = np.flatnonzero(np.diff(c, prepend=-1))
-                if len(heads):
-                    context[c[heads]] += np.add.reduceat(index[near[at : at + (1 << 16)]] * n[at : at + (1 << 16), None], heads, axis=0)
+            for at in range(0, len(pair), 1 << 14):
+                centre, near = np.divmod(pair[at : at + (1 << 14)], len(names))
+                heads = np.flatnonzero(np.diff(centre, prepend=-1))
+                context[centre[heads]] += np.add.reduceat(index[near] * n[at : at + (1 << 14), None], heads, axis=0)
     context /= np.maximum(1e-9, np.linalg.norm(context, axis=1))[:, None]
     return {names[i]: k for k, i in enumerate(chosen.tolist())}, context.astype(np.float32)
 
@@ -145,7 +143,7 @@ def fit(texts: list[bytes], labels: list[int]) -> dict:
         return {"constant": float(share)}
     vocabulary, context = learn_context(texts)
     memo = Words(vocabulary)
-    x = np.concatenate([pooled(texts[k : k + 500], memo, context) for k in range(0, len(texts), 500)])
+    x = np.concatenate([pooled(texts[k : k + 200], memo, context) for k in range(0, len(texts), 200)])
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     x = np.clip((x - mean) / scale, -8, 8)
     aside = np.arange(len(y)) % 5 == 4
