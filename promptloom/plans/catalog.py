@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import benchmarks, caches, control, gate, manifests, requests, rewriting, routes, signals_plans, streams, telemetry
+from . import benchmarks, caches, control, gate, manifests, optimize, requests, rewriting, routes, signals_plans, streams, telemetry
 from .registry import ORACLE, QUERIES, Query
 
-MODULES = (requests, signals_plans, manifests, routes, rewriting, gate, caches, telemetry, benchmarks, control, streams)
+MODULES = (requests, signals_plans, manifests, routes, rewriting, gate, caches, telemetry, benchmarks, control, streams, optimize)
 
 
 def queries() -> dict[str, Query]:
