@@ -171,7 +171,8 @@ def scores(model: dict, texts: list[bytes], memo: Words) -> np.ndarray:
         return np.full(len(texts), model["constant"])
     x = np.clip((pooled(texts, memo, model["context"]) - model["mean"]) / model["scale"], -8, 8)
     p = model["weights"]
-    return logistic((np.tanh(x @ p[0] + p[1]) @ p[2] + p[3]) / model["temperature"])
+    # Sums depend on the order of a batch's words in their last digits, so scores are given to six places.
+    return np.round(logistic((np.tanh(x @ p[0] + p[1]) @ p[2] + p[3]) / model["temperature"]), 6)
 
 
 def held_out(id_col: str = "doc_id"):

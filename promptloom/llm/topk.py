@@ -125,7 +125,7 @@ def exact_topk(data: DataFrame, queries: DataFrame, k: int = K, block: int = QUE
             for size in {len(v) for _, v in asked.value}:
                 own = [(i, v) for i, v in asked.value if len(v) == size]
                 blank = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
-                by_length[size] = (np.array([i for i, _ in own]), np.array([v for _, v in own], dtype=np.int64).reshape(-1, size), [blank] * len(own))
+                by_length[size] = (np.array([i for i, _ in own]), np.array([v for _, v in own], dtype=np.int64).reshape(len(own), size), [blank] * len(own))
             for batch in batches:
                 for at in range(0, batch.num_rows, STEP):
                     part = batch.slice(at, STEP)
