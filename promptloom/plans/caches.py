@@ -21,18 +21,18 @@ def timed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH m AS (SELECT conv_id AS request_id, string_agg(role || ':' || text, chr(10) ORDER BY turn) AS body FROM conversations GROUP BY conv_id),
 k AS (SELECT request_id, CASE WHEN request_id % 4 = 3 THEN NULL ELSE sha256((request_id % 3) || '|' || body) END AS k FROM m)
-SELECT request_id, CAST(k IS NULL AS INTEGER) AS uncacheable, count(*) OVER (PARTITION BY k) AS group_size FROM k""")
+SELECT request_id, CAST(k IS NULL AS INTEGER) AS uncacheable, CASE WHEN k IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY k) END AS group_size FROM k""")
 def l0_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Key groups and uncacheable requests (temperature 0.6); the hashes themselves are internal."""
-    from pyspark.sql import Window
-
+    """Sizes of key groups, 0 for uncacheable requests (temperature 0.6); the hashes themselves are internal. Requests without a key join nothing,
+    so they do not meet in one task."""
     rows = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
     packed = conversations(spark, sf_dir).groupBy(F.col("conv_id").alias("request_id")).agg(rows.alias("messages"))
-    heat = (F.col("request_id") % 4 * 2 / 10).cast("string")
     heat = F.when(F.col("request_id") % 4 == 3, F.lit("0.6")).otherwise(F.lit("0.2"))
     params = F.create_map(F.lit("temperature"), heat, F.lit("stream"), (F.col("request_id") % 2).cast("string"), F.lit("n"), F.lit("1"))
     keyed = packed.select("request_id", C.exact_key(F.lit("p"), (F.col("request_id") % 3).cast("string"), params, F.col("messages")).alias("k"))
-    return keyed.select("request_id", F.col("k").isNull().cast("int").alias("uncacheable"), F.count("*").over(Window.partitionBy("k")).alias("group_size"))
+    sizes = keyed.where("k IS NOT NULL").groupBy("k").agg(F.count("*").alias("group_size"))
+    cached = keyed.where("k IS NOT NULL").join(sizes, "k").select("request_id", F.lit(0).alias("uncacheable"), "group_size")
+    return cached.unionByName(keyed.where("k IS NULL").select("request_id", F.lit(1).alias("uncacheable"), F.lit(0).cast("long").alias("group_size")))
 
 
 @query(f"SELECT request_id, CAST(coalesce({EPOCH} - lag({EPOCH}) OVER (PARTITION BY tenant_id, query_key ORDER BY {EPOCH}, request_id) < 86400000000, false) AS INTEGER) AS hit FROM {REQUESTS_SQL}")

@@ -251,7 +251,7 @@ def exemplar_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.exemplars(grouped(spark, sf_dir), 1.05)
 
 
-@query()
+@query(name="ledger")
 def ledger_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.entries(grouped(spark, sf_dir), 1).select("request_id", "seg_idx", "place", "bucket", "sentence")
 

@@ -79,7 +79,7 @@ def embedding_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(C.pool(F.col("embedding"), 4)).alias("part", "pooled")).select("vec_id", "part", (F.round("pooled", 4) + 0.0).alias("pooled"))
 
 
-@query(f"SELECT l.request_class, strategy, status, floor, l1_allowed, l1_tau, count(*) AS n_requests FROM (SELECT CASE event_id % 8 {' '.join(f'WHEN {k} THEN {chr(39)}{c}{chr(39)}' for k, c in enumerate(CLASSES))} END AS request_class FROM events) l JOIN {ROUTING_SQL} d ON d.request_class = l.request_class GROUP BY ALL")
+@query(f"SELECT l.request_class, strategy, status, floor, l1_allowed, l1_tau, count(*) AS n_requests FROM (SELECT CASE event_id % 8 {' '.join(f'WHEN {k} THEN {chr(39)}{c}{chr(39)}' for k, c in enumerate(CLASSES))} END AS request_class FROM events) l JOIN {ROUTING_SQL} d ON d.request_class = l.request_class GROUP BY ALL", name="routing")
 def routing_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests are counted by class before the routes multiply them."""
     from ..sources.tables import request_log

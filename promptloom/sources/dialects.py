@@ -85,3 +85,19 @@ def responses(bodies: DataFrame, dialect: str) -> DataFrame:
     }[dialect]
     text, tokens_in, tokens_out, reason = (F.get_json_object("body", p) for p in path)
     return bodies.select("request_id", text.alias("text"), tokens_in.cast("long").alias("tokens_in"), tokens_out.cast("long").alias("tokens_out"), reason.alias("finish_reason"))
+
+
+CALL = "struct<name:string,arguments:string>"
+
+
+def sample_source(samples: DataFrame) -> DataFrame:
+    """Benchmark samples (request_id, messages array<struct<role, content, tool_calls array<struct<name, arguments>>>>) as rows: the first system
+    text has the idx -1, tool calls and results become text (results of the user), messages without text go."""
+    first = F.element_at(F.filter("messages", lambda m: m["role"] == "system"), 1)
+    calls = lambda m: F.array_join(F.transform(m["tool_calls"], lambda c: F.concat(F.lit("[tool call] "), c["name"], F.lit("("), c["arguments"], F.lit(")"))), "\n")
+    content = lambda m: F.nullif(F.coalesce(m["content"], F.lit("")), F.lit(""))
+    text = lambda m: F.when(m["role"] == "tool", F.concat(F.lit("[tool result] "), F.coalesce(m["content"], F.lit("null")))).when((m["role"] == "assistant") & (F.size(m["tool_calls"]) > 0), F.concat_ws("\n", content(m), calls(m))).otherwise(content(m))
+    kept = F.filter(F.transform(F.filter("messages", lambda m: m["role"] != "system"), lambda m: F.struct(F.when(m["role"] == "tool", "user").otherwise(m["role"]).alias("role"), text(m).alias("text"))), lambda x: x["text"].isNotNull())
+    rows = F.transform(kept, lambda x, i: F.struct(i.alias("idx"), x["role"].alias("role"), x["text"].alias("text")))
+    has_system = F.exists("messages", lambda m: m["role"] == "system")
+    return _rows(samples, F.when(has_system, first["content"]), rows)
