@@ -24,9 +24,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import MEMO_LIMIT, U64, as_bytes, steps
+from ._common import U64, as_bytes, steps
 
 DIMS, NONZERO, VOCABULARY, REACH = 64, 8, 20_000, 2
+#: Words whose features a worker remembers.
+WORDS = 250_000
 FIT_ROWS, HIDDEN, ROUNDS, DECAY, THRESHOLD = 3000, 16, 400, 1e-3, 0.3
 SHAPES = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b for b in range(256))
 
@@ -58,7 +60,7 @@ AGAIN = vectors(np.array([xxhash.xxh64_intdigest(b"again", 3)], dtype=U64))[0]
 class Words(dict):
     """Memo from word to a row of feature hashes (and its row in the vocabulary); emptied when full."""
 
-    def __init__(self, vocabulary: dict[bytes, int] | None = None, limit: int = MEMO_LIMIT // 4):
+    def __init__(self, vocabulary: dict[bytes, int] | None = None, limit: int = WORDS):
         super().__init__()
         self.vocabulary, self.limit = vocabulary or {}, limit
         self.columns = [array("Q"), array("Q"), array("Q"), array("q")]

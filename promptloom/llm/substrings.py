@@ -36,13 +36,13 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import U64, WordHashes, as_bytes, mix, partitions, ranges, rolling, steps
+from ._common import U64, WordHashes, as_bytes, mix, partitions, ranges, rolling, steps, trim
 
 WINDOW, SEED = 13, 5
 #: Stands for a null doc_id: larger than all others.
 NONE = np.iinfo(np.int64).max
 #: Index shards a shuffle partition; bounds what one shard's sort holds.
-SHARDS = 4
+SHARDS = 8
 
 
 def tag(text: bytes) -> int:
@@ -53,12 +53,12 @@ def tag(text: bytes) -> int:
 def anchored(hashes: np.ndarray, lengths: np.ndarray, window: int, seed: int) -> tuple[np.ndarray, ...]:
     """(document, start within it, anchor hash, window hash) of every window of the concatenated documents."""
     n = len(hashes)
-    doc = np.repeat(np.arange(len(lengths)), lengths)
+    doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
     first = np.cumsum(lengths) - lengths
     full = rolling(hashes, list(range(window)), 2)
     seeds = rolling(hashes, list(range(seed)), 1)
     m = len(full)
-    best, at = seeds[:m].copy(), np.arange(m)
+    best, at = seeds[:m].copy(), np.arange(m, dtype=np.int32)
     for k in range(1, window - seed + 1):
         other = seeds[k : k + m]
         less = other < best
@@ -197,7 +197,10 @@ def index_factors(index: DataFrame, parts: int) -> DataFrame:
         k1, k2, doc, mark, start = map(np.concatenate, (k1, k2, doc, mark, start))
         at, ref, ref_start = first_occurrences(k1, k2, doc, start)
         if len(at):
-            yield emit(factor_runs(doc[at], mark[at], start[at], ref, ref_start))
+            got = factor_runs(doc[at], mark[at], start[at], ref, ref_start)
+            del k1, k2, doc, mark, start, at, ref, ref_start
+            yield emit(got)
+        trim()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, rows = None, []
@@ -277,5 +280,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
             if out:
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "spans"])
+            del batch, kind, doc, mark_, none_, texts_, found, out
+            trim()
 
     return both.mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, spans array<array<long>>")

@@ -19,8 +19,10 @@ from heapq import heapify, heappop, heappush
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import MEMO_LIMIT, as_bytes, steps
+from ._common import as_bytes, steps
 
+#: Pre-tokens whose counts a worker remembers.
+PIECES = 1_000_000
 #: Fixed value: the pre-tokenizer pattern of byte-level BPE vocabularies.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -80,7 +82,7 @@ class PieceSizes(dict):
         self.start, self.merges = model["start"], model["merges"]
 
     def __missing__(self, piece: str) -> int:
-        if len(self) >= MEMO_LIMIT:
+        if len(self) >= PIECES:
             self.clear()
         size = merged_size(piece.encode(), self.start, self.merges)
         if len(piece) <= 64:
