@@ -24,9 +24,6 @@ GREETINGS = ["thanks", "thank you", "sure", "of course", "certainly", "i'd be ha
 FULL_DOCUMENT = r"whole\s+document|entire\s+report|all\s+pages|every\s+section|full\s+document|complete\s+report|read\s+everything|entire\s+text"
 ABBREVIATIONS = ["mr", "mrs", "ms", "dr", "prof", "sr", "jr", "vs", "cf", "al", "eg", "ie", "etc", "approx", "est", "fig", "no", "vol", "pp"]
 
-BLANK = r"[\s\x{1c}-\x{1f}\x{85}]"
-
-
 def strip(text: Column) -> Column:
     """Without white space at either end."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")

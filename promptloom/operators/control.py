@@ -12,6 +12,15 @@ OTHER_ARMS = [0.70, 0.80, 0.90, 0.97]
 RECALL_BUMP, SAFETY, DAILY = 0.92, 5.0, 5
 
 
+def arm_value(strategy: Column, index: Column) -> Column:
+    """The pass's arm of this number, from 0; the greatest arm is the most careful."""
+    at = (index + 1).cast("int")
+    out = F.element_at(F.array(*map(F.lit, OTHER_ARMS)), at)
+    for name, arms in ARMS.items():
+        out = F.when(strategy == name, F.element_at(F.array(*map(F.lit, arms)), at)).otherwise(out)
+    return out
+
+
 def sampling_rate(n: Column, strategy: Column, probation: Column) -> Column:
     base = F.when(n < 100, 0.20).when(n < 300, 0.10).when(n < 1000, 0.03).otherwise(0.015)
     return F.least(F.lit(1.0), base * F.when(strategy == "S7", 5.0).otherwise(1.0) * F.when(probation, 3.0).otherwise(1.0))

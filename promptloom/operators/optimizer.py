@@ -13,8 +13,8 @@ from .rewrite import dedupe, documents, fillers, hygiene, ledger, lossy, window
 from .segments import joined_texts
 
 COLUMNS = ["request_id", "seg_idx", "role", "segment_type", "text"]
-#: What is left when the named pass and those before it in the rollback order are undone: the version before the earliest of them.
-SNAPSHOTS = {"none": 7, "S7": 6, "S4": 5, "S3": 3, "S5": 3, "S1": 1}
+#: Version that is left when the named pass and those before it in the rollback order are undone: the one before the earliest of them.
+SNAPSHOTS = {"none": len(gate.RUN_ORDER)} | {p: min(map(gate.RUN_ORDER.index, gate.ROLLBACK_ORDER[: k + 1])) for k, p in enumerate(gate.ROLLBACK_ORDER)}
 
 
 def with_hashes(segs: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import cache as C, segments as S
+from ..operators import cache as C
 from ..operators.vectors import neighbours
 from ..sources.dimensions import LIFE_TIMES, life_times
 from ..sources.tables import REQUESTS_SQL, literal, load, micros, request_log
@@ -87,7 +87,6 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours(rows, rows.where("vec_id % 100 = 0"), k=5).select("query_id", "vec_id", "rank", (F.round("cosine", 4) + 0.0).alias("cosine"))
 
 
-SETS = "list_distinct({0})"
 NEXT = "(SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations)"
 
 

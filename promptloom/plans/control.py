@@ -51,7 +51,8 @@ def bandit_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bandit_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = request_log(spark, sf_dir).withColumn("reward_bp", C.reward_bp(F.col("parity_bp"), F.col("tokens_saved")))
     is_open = rows.where("strategy_id = 'S7'").select("strategy_id", "request_class").distinct()
-    return C.select_arms(C.posteriors(rows), is_open)
+    valued = C.posteriors(rows).withColumn("arm", C.arm_value(F.col("strategy_id"), F.col("arm")))
+    return C.select_arms(valued, is_open)
 
 
 @query(f"""SELECT request_id, round(reuses * tokens_saved * 3e-6 * 0.5e0, 9) AS lhs, CASE WHEN shadow_micros > 0 THEN round(reuses * tokens_saved * 3e-6 * 0.5e0 / (5e0 * (shadow_micros / 1e6)), 6) ELSE 'inf'::DOUBLE END AS ratio,

@@ -8,7 +8,6 @@ from ..functions import text as T
 from ..operators import manifest as M, segments as S
 from ..operators.rewrite import common, dedupe, documents, fillers, hygiene, ledger, lossy, window
 from ..sources.tables import REQUESTS_SQL, literal, load, request_log
-from .manifests import constraint_segments, texts
 from .registry import query
 from .requests import SEGMENTS_SQL, conversations, sql_strip, sql_tokens, sql_word, sql_words
 
@@ -292,9 +291,6 @@ def resurrect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.resurrect(old, ledgers, S.final_user_query(conversations(spark, sf_dir)), 0.05).select("request_id", "seg_idx", F.round("gain", 6).alias("gain"))
 
 
-TIDY = sql_strip(r"regexp_replace(regexp_replace(regexp_replace(text, '\s+?(\n|$)', '\1', 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')")
-
-
 @query(r"""SELECT page_id, sha256(regexp_replace(regexp_replace(regexp_replace(array_to_string(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '\s+$', '')), chr(10)), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS text_sha256
 FROM (SELECT page_id, replace(html, '<p>', '  ' || chr(10) || chr(10) || chr(10) || '  ') AS t FROM pages)""")
 def whitespace_canon(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Parameters that pass through, and role names of the chat-history dialect.
-OPENAI_PARAMETERS = ["temperature", "max_tokens", "top_p", "stream", "stop", "n", "presence_penalty", "frequency_penalty", "logit_bias", "user"]
+# Parameters that pass through by dialect, and role names of the chat-history dialect.
+PARAMETERS = {
+    "chat": ["temperature", "max_tokens", "stop", "top_p", "stream", "n", "presence_penalty", "frequency_penalty", "seed", "logprobs"],
+    "block": ["temperature", "max_tokens", "stop_sequences", "top_p", "stream"],
+    "history": ["temperature", "max_tokens", "p", "k", "stop_sequences"],
+}
 HISTORY_ROLES = {"user": "USER", "assistant": "CHATBOT", "system": "SYSTEM"}
 
 CHAT_BODY = "model string, messages array<struct<role string, content string>>"
@@ -87,6 +91,12 @@ def responses(bodies: DataFrame, dialect: str) -> DataFrame:
     return bodies.select("request_id", text.alias("text"), tokens_in.cast("long").alias("tokens_in"), tokens_out.cast("long").alias("tokens_out"), reason.alias("finish_reason"))
 
 
+def parameters(bodies: DataFrame, dialect: str) -> DataFrame:
+    """(request_id, params): the body's parameters that the dialect passes through, as a map of strings."""
+    every = F.from_json("body", "map<string,string>")
+    return bodies.select("request_id", F.map_filter(every, lambda k, v: k.isin(PARAMETERS[dialect])).alias("params"))
+
+
 CALL = "struct<name:string,arguments:string>"
 
 

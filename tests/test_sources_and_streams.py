@@ -28,6 +28,20 @@ def test_responses(spark):
         assert tuple(row[0]) == (1, "t", 3, 4, "stop") and row[1].text is None
 
 
+def test_parameters(spark):
+    body = json.dumps({"model": "m", "temperature": 0.2, "top_k": 4, "messages": [{"role": "user"}], "stop": ["a"]})
+    df = spark.createDataFrame([(1, body)], "request_id long, body string")
+    assert D.parameters(df, "chat").first().params == {"temperature": "0.2", "stop": '["a"]'}
+    assert D.parameters(df, "block").first().params == {"temperature": "0.2"}
+
+
+def test_samples(spark):
+    call = f"array<{D.CALL}>"
+    row = (1, [("system", "be kind", []), ("user", "hi", None), ("assistant", None, [("f", "{}")]), ("tool", "42", []), ("assistant", "", []), ("system", "late", [])])
+    df = spark.createDataFrame([row], f"request_id long, messages array<struct<role:string,content:string,tool_calls:{call}>>")
+    assert [tuple(r) for r in D.sample_source(df).orderBy("idx").collect()] == [(1, -1, "system", "be kind"), (1, 0, "user", "hi"), (1, 1, "assistant", "[tool call] f({})"), (1, 2, "user", "[tool result] 42")]
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "run_a.jsonl").write_text('{"sample_id": "1", "tokens_in": 5}\nnot json\n{"sample_id": "2"}\n')
     (tmp_path / "other.jsonl").write_text('{"sample_id": "3"}\n')
