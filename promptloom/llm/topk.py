@@ -137,12 +137,10 @@ def exact_topk(data: DataFrame, queries: DataFrame, k: int = K, block: int = QUE
                             flat = vectors.take(pa.array(rows)).flatten().to_numpy()
                             search(matrix, ids, flat.reshape(len(rows), size), names[rows], best, k)
             for ids, _, best in by_length.values():
-                if n := sum(len(s) for s, _ in best):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(ids, [len(s) for s, _ in best])), pa.array(np.concatenate([i for _, i in best])), pa.array(np.concatenate([s for s, _ in best]).astype(np.int64))],
-                        names=["query_id", "vec_id", "score"],
-                    )
-                    del n
+                sizes = [len(scores) for scores, _ in best]
+                if sum(sizes):
+                    columns = [np.repeat(ids, sizes), np.concatenate([names for _, names in best]), np.concatenate([scores for scores, _ in best]).astype(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
 
         return data.mapInArrow(run, FOUND)
 
