@@ -11,8 +11,8 @@
    without the square of a group of near copies.
 3. ``near_duplicates``: components of those links, named by their smallest doc_id.
 
-Scale: work between cells is quadratic in the number of distinct fingerprints, about 5 % of all pairs for
-spread-out fingerprints (that is the named method: exact comparison with skipped tiles); moved data is linear
+Scale: work between cells is quadratic in the number of distinct fingerprints, 8 % of all pairs on the
+sf0.1 table, where the whole population count alone would leave 55 % (that is the named method: exact comparison with skipped tiles); moved data is linear
 (each tile visits at most 161 cells, 8 bytes a fingerprint).
 
 Cases: null and empty texts have fingerprint zero and link like any other; texts of one to three words hash
