@@ -26,13 +26,16 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: in
 def bm25(parts: DataFrame, queries: DataFrame) -> DataFrame:
     """(id, chunk_idx, bm25): parts (id, chunk_idx, chunk) scored for their id's query (id, query), repeated query terms counted each time.
 
-    Term numbers are made before the shuffle; only query terms are joined.
+    A chunk meets its query first and only the numbers of the query's terms are shuffled, not the chunk's words.
     """
     tokens = lambda c: T.words(F.lower(c))
     sized = parts.select("id", "chunk_idx", tokens(F.col("chunk")).alias("ws")).withColumn("len", F.size("ws"))
     corpus = sized.groupBy("id").agg(F.count("*").alias("n"), F.greatest(F.avg("len"), F.lit(1.0)).alias("avg_len"))
     asked = queries.select("id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("times"))
-    tf = sized.select("id", "chunk_idx", "len", F.explode("ws").alias("term")).groupBy("id", "chunk_idx", "len", "term").agg(F.count("*").alias("tf")).join(asked, ["id", "term"])
+    asked = asked.groupBy("id").agg(F.collect_list(F.struct("term", "times")).alias("terms"))
+    number = lambda t: F.struct(t["term"].alias("term"), t["times"].alias("times"), F.size(F.filter("ws", lambda w: w == t["term"])).alias("tf"))
+    found = sized.join(asked, "id").select("id", "chunk_idx", "len", F.explode(F.filter(F.transform("terms", number), lambda x: x["tf"] > 0)).alias("x"))
+    tf = found.select("id", "chunk_idx", "len", "x.*")
     df = tf.groupBy("id", "term").agg(F.count("*").alias("df"))
     scored = tf.join(df, ["id", "term"]).join(corpus, "id")
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
