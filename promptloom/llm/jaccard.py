@@ -1,0 +1,169 @@
+"""Near duplicates by exact Jaccard similarity of word shingles, without comparing all pairs.
+
+1. ``prefixes``: the set of the 5-word shingles of each whole text (lower-cased, A-Z only), rare shingles first. Two sets of which the
+   union is shared by ``share`` at least have a shingle in common within their first n - ceil(share * n) + 1, so only those meet.
+   Which shingles are frequent comes from a sample; it decides the order and so the work, never the result.
+2. ``links``: in each group of equal prefix shingles every text is compared with one of the group, another one for other shingles.
+   What these links connect needs no further comparison; in a second round all members of a group that are not connected yet meet.
+   Each pair is compared by its two whole sets.
+3. ``representatives``: one document of each component of those links.
+
+Scale: moved data is linear (a fifth of the shingles at 8 bytes, then the texts that have a candidate). The second round is
+quadratic only in members of one group that are not near duplicates of each other.
+
+Cases: null, empty and blank texts have the empty set and are copies of each other; texts of one to four words are their whole
+sequence; a null doc_id takes part; an empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from ._common import U64, WordHashes, as_bytes, checkpoint, rolling, shared_folder, steps
+from .components import components
+
+SHINGLE, SHARE = 5, 0.8
+#: Sampled texts, and the shingles that count as frequent: in so many of them at least, the most frequent ones.
+SAMPLE, OFTEN, FREQUENT = 10_000, 5, 50_000
+#: Texts of a group that the others are compared with in the first round.
+CENTRES = 4
+
+
+def shingles(text: bytes, memo: WordHashes) -> np.ndarray:
+    """The distinct shingle hashes of one text, ascending."""
+    words = memo.of(text.lower().split())
+    if not len(words):
+        return words
+    size = min(SHINGLE, len(words))
+    return np.unique(rolling(words, list(range(size)), size))
+
+
+def prefix_size(n: int, share: float) -> int:
+    return n - int(np.ceil(share * n - 1e-9)) + 1 if n else 0
+
+
+def frequent(docs: DataFrame, text: str) -> np.ndarray:
+    """Frequent shingles of a sample of the different texts, the rarest first."""
+    texts = docs.select(F.col(text).cast("string").alias("__text")).where("__text IS NOT NULL")
+    some = texts.where(F.pmod(F.xxhash64("__text"), F.lit(max(1, texts.count() // SAMPLE))) == 0).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordHashes()
+        for batch in steps(batches, "__text"):
+            got = [shingles(x, memo) for x in as_bytes(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got).view(np.int64))], names=["h"])
+
+    counts = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
+    rows = counts.orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
+    return np.array([r.h for r in reversed(rows)], dtype=np.int64).view(U64)
+
+
+def prefixes(docs: DataFrame, id_col: str, text: str, share: float) -> DataFrame:
+    """(doc_id, th, node, n, prefix): hash of the text, hash and size of its set, the set's first shingles."""
+    often = docs.sparkSession.sparkContext.broadcast(frequent(docs, text))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, late = WordHashes(), often.value
+        order = np.argsort(late)
+        keys = late[order]
+        for batch in steps(batches, "__text"):
+            nodes, sizes, heads = [], [], []
+            for x in as_bytes(batch.column(2)):
+                got = shingles(x, memo)
+                nodes.append(xxhash.xxh64_intdigest(got.tobytes(), 1))
+                sizes.append(len(got))
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, got), len(keys) - 1)
+                    got = got[np.argsort(np.where(keys[at] == got, order[at], -1), kind="stable")]
+                heads.append(got[: prefix_size(len(got), share)])
+            ends = np.cumsum([0, *map(len, heads)], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(heads).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(nodes, dtype=U64).view(np.int64)), pa.array(sizes, pa.int32()), lists], names=["doc_id", "th", "node", "n", "prefix"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).cast("string").alias("__text"))
+    return rows.mapInArrow(run, "doc_id long, th long, node long, n int, prefix array<long>")
+
+
+def similar(pairs: DataFrame, docs: DataFrame, text: str, share: float) -> DataFrame:
+    """The pairs (a, b) of text hashes whose sets are at least ``share`` alike."""
+    pairs = checkpoint(pairs.distinct())
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("th")).distinct()
+    texts = docs.select(F.xxhash64(F.col(text)).alias("th"), F.col(text).cast("string").alias("__text"))
+    texts = texts.join(needed, "th", "left_semi").groupBy("th").agg(F.first("__text").alias("__text"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordHashes()
+        for batch in steps(batches, "__text"):
+            got = [shingles(x, memo) for x in as_bytes(batch.column(1))]
+            ends = np.cumsum([0, *map(len, got)], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(got).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["th", "set"])
+
+    known = checkpoint(texts.mapInArrow(sets, "th long, set array<long>"))
+    both = pairs.join(known.select(F.col("th").alias("a"), F.col("set").alias("x")), "a").join(known.select(F.col("th").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            xs, ys = batch.column(2), batch.column(3)
+            xo, yo, xv, yv = xs.offsets.to_numpy(), ys.offsets.to_numpy(), xs.values.to_numpy(), ys.values.to_numpy()
+            keep = []
+            for k in range(batch.num_rows):
+                x, y = xv[xo[k] : xo[k + 1]], yv[yo[k] : yo[k + 1]]
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared >= share * (len(x) + len(y) - shared) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return checkpoint(both.mapInArrow(run, "a long, b long"))
+
+
+def links(nodes: DataFrame, docs: DataFrame, text: str, share: float) -> DataFrame:
+    """(a, b): text hashes whose graph has the same components as all pairs of ``nodes`` at least ``share`` alike.
+
+    ``nodes`` has th, n and prefix, one row a set.
+    """
+    keys = nodes.select("th", "n", F.posexplode("prefix").alias("pos", "key"))
+    groups = keys.groupBy("key").agg(F.count("*").alias("g"), F.min(F.struct(F.xxhash64("th", F.pmod("key", F.lit(CENTRES))).alias("h"), "th", "n", "pos")).alias("c")).where("g > 1")
+    keys = checkpoint(keys.join(groups, "key").select("key", "th", "n", "pos", "c"))
+
+    def may(n: Column, pos: Column, m: Column, at: Column) -> Column:
+        """Whether sets of these sizes can be alike if the shingle at these places is the first that they share."""
+        return F.least(n - pos, m - at) >= (n + m) * (share / (1 + share)) - 1e-9
+
+    def pair(x: Column, y: Column) -> list[Column]:
+        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+    first = keys.where(F.col("th") != F.col("c.th")).where(may(F.col("n"), F.col("pos"), F.col("c.n"), F.col("c.pos"))).select(*pair(F.col("th"), F.col("c.th")))
+    first = similar(first, docs, text, share)
+    roots = components(first).select(F.col("node").alias("th"), "root")
+    keys = keys.drop("c").join(roots, "th", "left").withColumn("root", F.coalesce("root", "th"))
+    main = keys.groupBy("key", "root").agg(F.count("*").alias("g")).groupBy("key").agg(F.max_by("root", F.struct("g", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
+    keys = checkpoint(keys.join(main.select("key", "main"), "key"))
+    stray = keys.where("root <> main").select("key", F.col("th").alias("th2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("root").alias("root2"))
+    rest = keys.join(stray, (keys.key == stray.key) & (F.col("root") != F.col("root2")) & may(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2")))
+    return first.union(similar(rest.select(*pair(F.col("th"), F.col("th2"))), docs, text, share))
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text: str = "text", share: float = SHARE) -> DataFrame:
+    """The rows of ``docs`` that stay when one document of each component does: the one with the smallest doc_id.
+
+    Rows that repeat a doc_id and its text are one document. Of a component without any doc_id one row stays. The rows' columns
+    are unchanged.
+    """
+    spark = docs.sparkSession
+    folder = f"{shared_folder(spark)}/jaccard-{uuid.uuid4().hex}"
+    prefixes(docs, id_col, text, share).write.parquet(folder)
+    best = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", F.col("th").alias("text_hash"))).alias("best")
+    nodes = checkpoint(spark.read.parquet(folder).groupBy("node").agg(best, F.min("th").alias("th"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+    roots = components(links(nodes, docs, text, share)).select(F.col("node").alias("th"), "root")
+    joined = nodes.select("th", "best").join(roots, "th", "left").groupBy(F.coalesce("root", "th").alias("root")).agg(F.min("best").alias("best"))
+    stay = checkpoint(joined.select(F.col("best.doc_id").alias("__near_stay"), F.col("best.text_hash").alias("__near_hash")))
+    rows = docs.withColumn("__near_id", F.col(id_col).cast("long")).withColumn("__near_text", F.xxhash64(F.col(text)))
+    rows = rows.join(stay, F.col("__near_id").eqNullSafe(F.col("__near_stay")) & (F.col("__near_text") == F.col("__near_hash")), "left_semi")
+    order = Window.partitionBy("__near_id", "__near_text").orderBy(F.lit(0))
+    return rows.withColumn("__near_row", F.row_number().over(order)).where("__near_row = 1").select(*docs.columns)

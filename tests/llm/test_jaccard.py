@@ -1,0 +1,62 @@
+import random
+
+import corpus_pipeline
+import pytest
+from promptloom.llm import jaccard
+
+from .cases import documents, frame, prose
+
+
+def plain(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def brute(rows):
+    """doc_ids of the components' smallest documents, by comparing all pairs."""
+    sets, label = [plain(t) for _, t in rows], list(range(len(rows)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if label[i] != label[j] and (x == y or 5 * len(x & y) >= 4 * len(x | y)):
+                label = [label[j] if k == label[i] else k for k in label]
+    least = {}
+    for (d, _), c in zip(rows, label, strict=True):
+        least[c] = min(d if d is not None else 1 << 60, least.get(c, 1 << 60))
+    return sorted(d if d < 1 << 60 else -1 for d in least.values())
+
+
+def near_copies():
+    """Groups of texts with some words changed, on both sides of the threshold, all with one passage in common."""
+    rng, rows, passage = random.Random(9), [], prose(12, 99)
+    for k in range(25):
+        words = prose(rng.randrange(8, 200), 500 + k).split()
+        for _ in range(rng.randrange(2, 12)):
+            copy = words[:]
+            for _ in range(rng.randrange(0, max(2, len(copy) // 25))):
+                copy[rng.randrange(len(copy))] = f"new{rng.randrange(1000)}"
+            rows.append((len(rows), " ".join(copy) + " " + passage))
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("often", [5, 10_000])
+def test_stage_against_brute_force(spark, monkeypatch, often):
+    monkeypatch.setattr(jaccard, "OFTEN", often)
+    rows = near_copies()
+    got = corpus_pipeline.near_dedup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in got.collect()) == brute(rows)
+
+
+def test_one_changed_word_in_a_short_text(spark):
+    words = prose(60, 3).split()
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:30], "changed", *words[31:]])), (3, prose(60, 4))]
+    got = corpus_pipeline.near_dedup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in got.collect()) == [1, 3]
+
+
+def test_awkward_documents(spark):
+    got = jaccard.representatives(frame(spark))
+    assert got.columns == frame(spark).columns and sorted(r.doc_id for r in got.collect()) == brute(documents())
+    lone = frame(spark, [(None, "some text that has no id at all"), (None, "some text that has no id at all"), (1, "another text that has an id")])
+    assert sorted(str(r.doc_id) for r in jaccard.representatives(lone).collect()) == ["1", "None"]
+    assert jaccard.representatives(frame(spark, [])).count() == 0
