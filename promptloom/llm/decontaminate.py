@@ -1,14 +1,16 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 Each fixed mask hashes the words at its ones and ignores those at its zeros, so a substituted word under a zero
-does not hide an overlap. Training hashes that are also benchmark hashes are hits; around each hit (document,
+does not hide an overlap. A run of ones, as long as the run of equal words that any overlap which counts must have, makes the seeds
+complete: 4 words for most items, 3 for items of 10 or 11 words. Training hashes that are also benchmark hashes are hits; around each hit (document,
 item, alignment) the words are compared one by one, and the overlap counts if a window of ``window`` words (the whole item, if
 that is shorter) has at least ``share`` of its words equal. Words are lower-cased, ASCII punctuation is white space.
 
 The benchmark is taken in blocks of BLOCK_WORDS words at most (one item at least), each one broadcast of bounded size and one scan
 of the documents, so a benchmark of any size is met exactly and no document is ever shuffled.
 
-Cases: null and empty texts have no overlaps; an item of fewer than MIN_ITEM words, or a null one, is no evidence; repeated
+Cases: null and empty texts have no overlaps; an item of fewer than MIN_ITEM words counts only where all of them are equal; an
+empty or null item is no evidence; repeated
 documents and items are reported each; with an empty benchmark nothing is contaminated; columns pass through.
 """
 
@@ -24,7 +26,9 @@ from pyspark.sql.types import StructType
 
 from ._common import U64, WordHashes, ranges, rolling, steps
 
-MASKS = ("11101011", "1100101011", "110100100111")
+SPACED = ("11101011", "1100101011", "110100100111")
+#: With the runs that WINDOW and SHARE need; an item is hashed by the spaced masks and by its own run.
+MASKS = (*SPACED, "1111", "111")
 WINDOW, SHARE, MIN_ITEM, BLOCK_WORDS = 13, 0.8, 8, 500_000
 #: Bits of the table that keeps most words away from the exact lookup.
 FILTER_BITS = 20
@@ -40,16 +44,30 @@ def offsets(mask: str) -> list[int]:
     return [k for k, c in enumerate(mask) if c == "1"]
 
 
+def rule(n: int, window: int = WINDOW, share: float = SHARE) -> tuple[int, int]:
+    """(words, equal words) of the smallest overlap that counts for an item of ``n`` words."""
+    size = min(window, n)
+    return size, size if n < MIN_ITEM else max(1, int(np.ceil(share * size - 1e-9)))
+
+
+def run_length(n: int, window: int = WINDOW, share: float = SHARE) -> int:
+    """The longest run of equal words that every overlap which counts has: unequal words part the equal ones."""
+    size, need = rule(n, window, share)
+    return -(-need // (size - need + 1))
+
+
 class Seeds:
     """Spaced-seed hashes of one block of benchmark items."""
 
-    def __init__(self, items: list[tuple[int | None, list[bytes]]], masks: tuple[str, ...] = MASKS):
+    def __init__(self, items: list[tuple[int | None, list[bytes]]], masks: tuple[str, ...] = SPACED, window: int = WINDOW, share: float = SHARE):
         memo = WordHashes()
         self.names = [name for name, _ in items]
         self.words = [memo.of(w) for _, w in items]
-        self.masks, self.tables = [offsets(m) for m in masks], []
-        for k, at in enumerate(self.masks):
-            got = [rolling(w, at, k) for w in self.words]
+        runs = [run_length(len(w), window, share) for w in self.words]
+        lengths = [None] * len(masks) + sorted(set(runs))
+        self.masks, self.tables = [offsets(m) for m in masks] + [list(range(n)) for n in sorted(set(runs))], []
+        for k, (at, length) in enumerate(zip(self.masks, lengths, strict=True)):
+            got = [rolling(w if length in (None, n) else w[:0], at, k) for w, n in zip(self.words, runs, strict=True)]
             hashes = np.concatenate([np.zeros(0, dtype=U64), *got])
             sizes = np.array([len(g) for g in got], dtype=np.int64)
             order = np.argsort(hashes, kind="stable")
@@ -73,12 +91,12 @@ class Seeds:
 def overlap(doc: np.ndarray, item: np.ndarray, at: int, window: int = WINDOW, share: float = SHARE) -> tuple[int, int, int] | None:
     """(start in the document, words, equal words) of the overlap with the item's first word at place ``at``."""
     a, b = max(0, at), min(len(doc), at + len(item))
-    size = min(window, len(item))
+    size, need = rule(len(item), window, share)
     if b - a < size:
         return None
     equal = doc[a:b] == item[a - at : b - at]
     total = np.concatenate([[0], np.cumsum(equal)])
-    good = np.flatnonzero(total[size:] - total[:-size] >= np.ceil(share * size - 1e-9))
+    good = np.flatnonzero(total[size:] - total[:-size] >= need)
     if not len(good):
         return None
     inside = np.zeros(len(equal), dtype=bool)
@@ -92,7 +110,7 @@ def blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple
     held, size = [], 0
     for row in benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(text).cast("string").alias("t")).toLocalIterator():
         words = words_of(row.t)
-        if len(words) < MIN_ITEM:
+        if not words:
             continue
         if held and size + len(words) > BLOCK_WORDS:
             yield held
@@ -118,7 +136,7 @@ def scan(docs: DataFrame, block, text: str, hits: str, window: int, share: float
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("n_words", pa.int32()), ("n_equal", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds, memo = Seeds(block.value), WordHashes()
+        seeds, memo = Seeds(block.value, window=window, share=share), WordHashes()
         for batch in steps(batches, text):
             words = [words_of(t) for t in batch.column(at).to_pylist()]
             lengths = np.array([len(w) for w in words], dtype=np.int64)

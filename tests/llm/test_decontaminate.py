@@ -78,3 +78,36 @@ def test_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert D.decontaminate(frame(spark), bench).count() == len(documents())
     assert D.decontaminate(frame(spark, []), bench).count() == 0
+
+
+def complete(docs, items):
+    """(k, item_id) of every overlap by the rule alone: no seed is asked for."""
+    out = set()
+    for k, (_, text) in enumerate(docs):
+        d = D.words_of(text)
+        for item, body in items:
+            w = D.words_of(body)
+            size = min(D.WINDOW, len(w))
+            need = size if len(w) < D.MIN_ITEM else -(-size * 4 // 5)
+            starts = ((i, j) for i in range(len(d) - size + 1) for j in range(len(w) - size + 1)) if w else ()
+            if any(sum(x == y for x, y in zip(d[i : i + size], w[j : j + size], strict=True)) >= need for i, j in starts):
+                out.add((k, item))
+    return out
+
+
+def test_every_overlap_that_counts_is_found(spark):
+    rng, items, docs = random.Random(12), [], []
+    for n in (1, 3, 5, 7, 8, 8, 9, 10, 10, 11, 11, 12, 13, 13, 20):
+        items.append((len(items), " ".join(f"i{len(items)}w{q}" for q in range(n))))
+        for _ in range(20):
+            words = items[-1][1].split()
+            for q in rng.sample(range(n), min(n, rng.randrange(4))):
+                words[q] = "changed"
+            docs.append((len(docs), prose(6, len(docs)) + " " + " ".join(words) + " " + prose(6, 9000 + len(docs))))
+    words = items[12][1].split()
+    docs.append((len(docs), " ".join([*words[:6], "x", "y", *words[8:]])))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = D.find_overlaps(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    got = {(r.doc_id, h.item_id) for r in found for h in r.contamination}
+    want = complete(docs, items)
+    assert got == want and (len(docs) - 1, 12) in got and len(want) > 100
