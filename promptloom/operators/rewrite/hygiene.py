@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ...functions import arrow as P, text as T
-from ..signals import near_pairs
+from ..signals import near_after
 
 KEEP_AFTER, SUPERSEDED = 3, 0.50
 
@@ -27,10 +27,8 @@ def expired(segs: DataFrame, result_type: str = "TOOL_RESULT", keep_after: int =
     """(request_id, seg_idx) of results with more assistant turns behind them than ``keep_after``, one of them like the result; never the last."""
     last = segs.where(F.col("segment_type") == result_type).groupBy("request_id").agg(F.max("seg_idx").alias("last"))
     old = assistant_turns_after(segs).where((F.col("segment_type") == result_type) & (F.col("turns_after") > keep_after)).join(last, "request_id").where("seg_idx < last")
-    left = old.select("request_id", F.lit("x").alias("segment_type"), (F.col("seg_idx") * 2).alias("seg_idx"), "text")
-    right = segs.where("segment_type = 'ASSISTANT_TURN'").select("request_id", F.lit("x").alias("segment_type"), (F.col("seg_idx") * 2 + 1).alias("seg_idx"), "text")
-    pairs = near_pairs(left.unionByName(right), similar).where("a % 2 = 0 AND b % 2 = 1")
-    return pairs.select("request_id", F.floor(F.col("a") / 2).alias("seg_idx")).distinct()
+    said = segs.where("segment_type = 'ASSISTANT_TURN'")
+    return near_after(old, said, similar).where("last > seg_idx").select("request_id", "seg_idx").distinct()
 
 
 def expiry_stub(tool_name: Column) -> Column:

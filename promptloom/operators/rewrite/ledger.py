@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ...functions import arrow as P, text as T
-from ..signals import near_pairs
+from ..signals import near_after
 
 #: Turn and sentence share one number; a whole turn stands behind all of its sentences.
 TURN, LATER = 1_000_000_000, 400_000_000
@@ -66,15 +66,12 @@ def entries(grouped: DataFrame, keep: int = KEEP, similar: float = SIMILAR) -> D
     retained = grouped.join(old.select("request_id", "seg_idx"), ["request_id", "seg_idx"], "left_anti")
     said = old.select("request_id", "seg_idx", F.posexplode(split(F.col("text"))).alias("place", "sentence")).withColumn("bucket", bucket(F.col("sentence"))).where(F.col("bucket").isNotNull() & ~is_greeting(F.col("sentence")))
     said = said.withColumn("n", F.row_number().over(Window.partitionBy("request_id", "bucket", "sentence").orderBy("seg_idx", "place"))).where("n = 1").drop("n")
-    # Old sentences get even numbers and what they are compared with odd ones; only pairs of both kinds count.
-    left = said.select("request_id", F.lit("x").alias("segment_type"), (F.col("seg_idx") * TURN + F.col("place") * 2).alias("seg_idx"), F.col("sentence").alias("text"))
-    kept = retained.select("request_id", "seg_idx", F.posexplode(split(F.col("text"))).alias("place", "text"))
-    later = grouped.where("role = 'assistant'").select("request_id", "seg_idx", F.lit(LATER).alias("place"), "text")
-    right = kept.unionByName(later).select("request_id", F.lit("x").alias("segment_type"), (F.col("seg_idx") * TURN + F.col("place") * 2 + 1).alias("seg_idx"), "text")
-    pairs = near_pairs(left.unionByName(right), similar).where("a % 2 <> b % 2")
-    ends = pairs.select("request_id", F.when(F.col("a") % 2 == 0, F.col("a")).otherwise(F.col("b")).alias("l"), F.when(F.col("a") % 2 == 0, F.col("b")).otherwise(F.col("a")).alias("r"))
-    turn = lambda c: F.floor(F.col(c) / TURN)
-    gone = ends.where((F.col("r") % TURN != LATER * 2 + 1) | (turn("r") > turn("l"))).select("request_id", turn("l").alias("seg_idx"), F.floor((F.col("l") % TURN) / 2).alias("place")).distinct()
+    left = said.select("request_id", (F.col("seg_idx") * TURN + F.col("place")).alias("seg_idx"), F.col("sentence").alias("text"))
+    kept = retained.select("request_id", F.lit(LATER).alias("seg_idx"), F.explode(split(F.col("text"))).alias("text"))
+    later = grouped.where("role = 'assistant'").select("request_id", "seg_idx", "text")
+    turn = F.floor(F.col("seg_idx") / TURN)
+    near = near_after(left, kept.unionByName(later), similar).where(F.col("last") > turn)
+    gone = near.select("request_id", turn.alias("seg_idx"), (F.col("seg_idx") % TURN).alias("place")).distinct()
     return said.join(gone, ["request_id", "seg_idx", "place"], "left_anti")
 
 

@@ -53,27 +53,46 @@ def band_rows(signatures: DataFrame, rows: int, keys: list[str]) -> DataFrame:
     return signatures.select(*keys, "id", F.explode(pieces).alias("p")).select(*keys, "id", "p.band", "p.value")
 
 
-def near_pairs(segs: DataFrame, threshold: float, keys: tuple[str, ...] = ("request_id", "segment_type")) -> DataFrame:
-    """(keys, a, b, jaccard): segments a < b of a group whose estimate is at least ``threshold``; no pair is missed.
+def near_texts(distinct: DataFrame, threshold: float, keys: tuple[str, ...] = ("request_id", "segment_type")) -> DataFrame:
+    """(keys, a, b, jaccard): ids a < b of different texts of a group whose estimate is at least ``threshold``; no pair is missed.
 
     An estimate of t leaves (1 - t) * 128 unequal places, which can't touch all bands if there are more bands than that, so equal bands
-    find every pair without comparing all. Equal texts are made one first.
+    find every pair without comparing all.
     """
     unequal = int((1 - threshold) * P.PERMUTATIONS + 1e-9)
     rows = max(r for r in range(1, 9) if P.PERMUTATIONS // r > unequal)
-    distinct = segs.groupBy(*keys, "text").agg(F.min("seg_idx").alias("id"))
     signed = distinct.select(*keys, "id", P.minhash("text").alias("sig"))
     bands = band_rows(signed, rows, list(keys))
     join = [*keys, "band", "value"]
     pairs = bands.withColumnRenamed("id", "a").join(bands.withColumnRenamed("id", "b"), join).where("a < b").select(*keys, "a", "b").distinct()
     sides = lambda n: signed.select(*keys, F.col("id").alias(n), F.col("sig").alias(f"sig_{n}"))
     scored = pairs.join(sides("a"), [*keys, "a"]).join(sides("b"), [*keys, "b"])
-    near = scored.select(*keys, "a", "b", P.jaccard_estimate(F.col("sig_a"), F.col("sig_b")).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    return scored.select(*keys, "a", "b", P.jaccard_estimate(F.col("sig_a"), F.col("sig_b")).alias("jaccard")).where(F.col("jaccard") >= threshold)
+
+
+def near_pairs(segs: DataFrame, threshold: float, keys: tuple[str, ...] = ("request_id", "segment_type")) -> DataFrame:
+    """(keys, a, b, jaccard): near pairs of different texts, each text under its smallest seg_idx, and its copies paired with that one.
+
+    For pairs by side or order use ``near_after``, which sees every place of a text.
+    """
+    distinct = segs.groupBy(*keys, "text").agg(F.min("seg_idx").alias("id"))
+    near = near_texts(distinct, threshold, keys)
     firsts = distinct.select(*keys, "text", F.col("id").alias("a"))
     copies = segs.select(*keys, "text", F.col("seg_idx").alias("b")).join(firsts, [*keys, "text"]).where("a < b").select(*keys, "a", "b", F.lit(1.0).alias("jaccard"))
     return near.unionByName(copies)
 
 
+def near_after(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(request_id, seg_idx, last): segments of ``left`` with the largest seg_idx of each text of ``right`` in the request that is equal or near."""
+    both = left.select("request_id", "text").unionByName(right.select("request_id", "text")).where("text IS NOT NULL").distinct()
+    named = both.withColumn("id", F.xxhash64("text"))
+    near = near_texts(named, threshold, ("request_id",))
+    same = named.select("request_id", F.col("id").alias("a"), F.col("id").alias("b"))
+    ends = near.select("request_id", "a", "b").unionByName(near.select("request_id", F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(same)
+    last = right.groupBy("request_id", F.xxhash64("text").alias("b")).agg(F.max("seg_idx").alias("last"))
+    return left.select("request_id", "seg_idx", F.xxhash64("text").alias("a")).join(ends, ["request_id", "a"]).join(last, ["request_id", "b"]).select("request_id", "seg_idx", "last")
+
+
 def redundancy(segs: DataFrame, threshold: float = REDUNDANT) -> DataFrame:
     """Share of segments with a sibling of their type at least this similar; 0 for fewer than two segments."""
     pairs = near_pairs(segs, threshold)

@@ -182,3 +182,13 @@ def test_optimiser_never_grows_a_request(spark):
     assert len(rows) == 6 and all(r.tokens_after <= r.tokens_before for r in rows)
     assert {r.request_id for r in left.select("request_id").distinct().collect()} == {r.request_id for r in rows}
     assert T.CHARS_PER_TOKEN == 3.8
+
+
+def test_repeated_assistant_turns_still_expire_results_and_sentences(spark):
+    said = "the report for march lists forty two open orders and nine late ones from the north region warehouse"
+    rows = [(1, 0, "user", "q", "USER_TURN"), (1, 1, "assistant", said, "ASSISTANT_TURN"), (1, 5, "tool", said + " today", "TOOL_RESULT"), (1, 6, "assistant", "a", "ASSISTANT_TURN"), (1, 7, "assistant", "b", "ASSISTANT_TURN"), (1, 8, "assistant", "c", "ASSISTANT_TURN"), (1, 9, "assistant", said, "ASSISTANT_TURN"), (1, 10, "assistant", "d", "ASSISTANT_TURN"), (1, 11, "tool", "last", "TOOL_RESULT")]
+    segs = spark.createDataFrame(rows, "request_id long, seg_idx long, role string, text string, segment_type string")
+    assert [(r.request_id, r.seg_idx) for r in hygiene.expired(segs).collect()] == [(1, 5)]
+    left = segs.where("seg_idx = 5")
+    assert {(r.seg_idx, r.last) for r in G.near_after(left, segs.where("role = 'assistant'"), 0.5).collect()} == {(5, 9)}
+    assert {(r.seg_idx, r.last) for r in G.near_after(segs.where("seg_idx = 1"), segs.where("role = 'assistant'"), 0.99).collect()} == {(1, 9)}
