@@ -30,6 +30,8 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from ._common import steps
 
 MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:"[^"<>]*+"|'[^'<>]*+'|"[^"]{0,4000}+"|'[^']{0,4000}+'|[^'">])*+)>|<(/?)([a-zA-Z][\w:-]*)[^<>]*>""", re.S)
+OPENING = re.compile(r"<(/?)([a-zA-Z][\w:-]*)")
+UNQUOTED = re.compile(r"""[^"'>]*""")
 ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 TOKEN = re.compile(r"[a-z]+")
 #: Fixed lists of HTML element names.
@@ -59,6 +61,30 @@ TAG_AT = {t: k for k, group in enumerate(TAGS) for t in group}
 KIND_AT = {w: k for k, kind in enumerate(KINDS) for w in kind}
 
 
+class TagEnds:
+    """Ends of tags whose quoted values may be of any length; what led nowhere once is not read again, so the time is linear."""
+
+    def __init__(self, html: str):
+        self.html, self.hopeless, self.dead = html, set(), (0, -1)
+
+    def after(self, at: int) -> int:
+        """The place behind the tag whose name ends at ``at``; 0 if a quote or the tag is never closed."""
+        if self.dead[0] <= at <= self.dead[1]:
+            return 0
+        start, seen = at, []
+        while True:
+            at = UNQUOTED.match(self.html, at).end()
+            if self.html[at : at + 1] == ">":
+                return at + 1
+            seen.append(at)
+            close = -1 if at == len(self.html) or at in self.hopeless else self.html.find(self.html[at], at + 1)
+            if close < 0:
+                self.hopeless.update(seen)
+                self.dead = (start, seen[0])
+                return 0
+            at = close + 1
+
+
 class Page:
     """Tree of one page. ``pieces``: (node, text, whether in a link) in page order, None between blocks."""
 
@@ -70,6 +96,7 @@ class Page:
     def read(self, html: str) -> None:
         stack: list[tuple[str, int]] = [("", 0)]
         at, links, size = 0, 0, len(html)
+        m, sought, tag_end = None, False, TagEnds(html)
 
         def text(part: str) -> None:
             if part:
@@ -84,18 +111,31 @@ class Page:
             del stack[k:]
 
         while at < size:
-            m = MARKUP.search(html, at)
-            if m is None:
+            if not sought or (m is not None and m.start() < at):
+                m, sought = MARKUP.search(html, at), True
+            # MARKUP gives up on very long quoted values; tags that it passed over or cut are read again.
+            whole = None
+            for tag in OPENING.finditer(html, at, len(html) if m is None else m.start() + 2 + len(m[5] or "")):
+                if m is not None and tag.start() >= m.start() and not m[5]:
+                    break
+                end = tag_end.after(tag.end())
+                if end:
+                    whole = tag
+                    break
+            if whole:
+                text(html[at : whole.start()])
+                at, closing, name, attributes = end, whole[1], whole[2].lower(), html[whole.end() : end - 1]
+            elif m is None:
                 cut = html.rfind("<", at)  # a tag that the page's end cuts is no text
                 rest = html[at:] if cut < 0 or not re.match(r"</?[a-zA-Z!]", html[cut:]) else html[at:cut]
                 text(rest)
                 break
-            text(html[at : m.start()])
-            at = m.end()
-            name = (m[2] or m[5] or "").lower()
+            else:
+                text(html[at : m.start()])
+                at, closing, name, attributes = m.end(), m[1] or m[4], (m[2] or m[5] or "").lower(), m[3] or ""
             if not name:
                 continue
-            if m[1] or m[4]:
+            if closing:
                 k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name), 0)
                 if k:
                     close(k)
@@ -103,7 +143,6 @@ class Page:
             if name not in INLINE:
                 self.pieces.append(None)
                 self.imply_ends(name, stack, close)
-            attributes = m[3] or ""
             if name in VOID:
                 continue
             kinds = 0

@@ -58,3 +58,19 @@ def test_rows_pass_through(spark):
     got = W.main_texts(df, W.train()).collect()
     assert sorted((str(r.page_id), r.n_chars > 0) for r in got) == [("1", False), ("1", False), ("2", False), ("None", True)]
     assert W.main_texts(df.limit(0), W.train()).collect() == []
+
+
+def test_quoted_values_of_any_length():
+    for quote in "\"'":
+        value = "<p>" + "hidden words > " * 400 + "</p>"
+        page = W.Page(f"<body><div data-x={quote}{value}{quote} class='sidebar'>shown</div><p>more</p></body>")
+        assert [t for _, t, _ in filter(None, page.pieces)] == ["shown", "more"]
+        assert page.tag.count("div") == 1 and page.tag.count("p") == 1 and page.kinds[page.tag.index("div")]
+
+
+def test_unclosed_quotes_cost_linear_time():
+    import time
+
+    start = time.perf_counter()
+    ends = W.TagEnds("<x a='" + '<y b="1" ' * 200_000)
+    assert not any(ends.after(k) for k in range(2, 1_800_000, 9)) and time.perf_counter() - start < 20
