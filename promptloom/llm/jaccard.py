@@ -30,7 +30,7 @@ from .components import components
 
 SHINGLE, SHARE = 5, 0.8
 #: Sampled texts, and the shingles that count as frequent: in so many of them at least, the most frequent ones.
-SAMPLE, OFTEN, FREQUENT = 10_000, 5, 50_000
+SAMPLE, OFTEN, FREQUENT = 3_000, 5, 50_000
 #: Texts of a group that the others are compared with in the first round.
 CENTRES = 4
 
@@ -128,8 +128,9 @@ def links(nodes: DataFrame, docs: DataFrame, text: str, share: float) -> DataFra
     ``nodes`` has th, n and prefix, one row a set.
     """
     keys = nodes.select("th", "n", F.posexplode("prefix").alias("pos", "key"))
-    groups = keys.groupBy("key").agg(F.count("*").alias("g"), F.min(F.struct(F.xxhash64("th", F.pmod("key", F.lit(CENTRES))).alias("h"), "th", "n", "pos")).alias("c")).where("g > 1")
-    keys = checkpoint(keys.join(groups, "key").select("key", "th", "n", "pos", "c"))
+    # Most keys are alone: one shuffle of plain rows, then they are gone.
+    group, centre = Window.partitionBy("key"), F.struct(F.xxhash64("th", F.pmod("key", F.lit(CENTRES))).alias("h"), "th", "n", "pos")
+    keys = checkpoint(keys.withColumn("g", F.count(F.lit(1)).over(group)).withColumn("c", F.min(centre).over(group)).where("g > 1").select("key", "th", "n", "pos", "c"))
 
     def may(n: Column, pos: Column, m: Column, at: Column) -> Column:
         """Whether sets of these sizes can be alike if the shingle at these places is the first that they share."""
