@@ -1,9 +1,9 @@
 import corpus_pipeline
 import pytest
-from promptloom.llm import decontaminate, pii, quality, queries, simhash
+from promptloom.llm import decontaminate, nearcopies, pii, quality, queries, simhash
 
 from .test_decontaminate import brute as overlaps
-from .test_simhash import brute as groups
+from .test_nearcopies import brute as groups
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,7 +34,7 @@ def test_quality_drops_what_the_classifier_rejects(spark, stages):
 
 def test_one_of_each_group_stays(stages):
     before, after = stages["near_dedup"]
-    assert ids(after) == sorted({c for _, _, c in groups([(r.doc_id, r.text) for r in before])})
+    assert ids(after) == groups([(r.doc_id, r.text) for r in before])
 
 
 def test_overlapping_documents_go(spark, stages):
@@ -72,4 +72,4 @@ def test_queries_run_on_the_smallest_tables(spark):
 
 
 def test_thresholds_are_production_ones():
-    assert (simhash.SHINGLE, simhash.SEED, simhash.RADIUS) == (4, 42, 4) and decontaminate.WINDOW == 13
+    assert (simhash.SHINGLE, simhash.SEED, simhash.RADIUS) == (4, 42, 4) and (nearcopies.SHINGLE, nearcopies.SHARE) == (5, 0.8) and decontaminate.WINDOW == 13
