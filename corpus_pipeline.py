@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from promptloom.llm import decontaminate, jaccard, mixing, pii, quality
+from promptloom.llm import decontaminate, mixing, nearcopies, pii, quality
 from promptloom.llm._common import shared_folder
 
 
@@ -22,7 +22,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: 5-word shingles, Jaccard similarity of at least 0.8."""
-    return jaccard.representatives(docs)
+    return nearcopies.representatives(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
