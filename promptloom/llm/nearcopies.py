@@ -3,12 +3,12 @@
 The fingerprints of ``simhash`` have 64 bits, as their contract says, which is too few to find a given similarity surely. Here a
 fingerprint has BITS bits, from the set of the 5-word shingles of a whole text (lower-cased, A-Z only):
 
-1. ``near_links``: tiled exact comparison by exclusive-or and bit counts. Sets that are ``share`` alike have sizes within that
+1. ``near_groups``: tiled exact comparison by exclusive-or and bit counts. Sets that are ``share`` alike have sizes within that
    share, so only tiles of one band of sizes and of the next one meet; tile pairs whose population counts differ by more than the radius are
-   skipped. The first 64 bits sort out nearly all pairs, the others decide on the rest. A spanning forest leaves a task.
-   At the radius taken, two sets that are exactly 0.8 alike are found with a probability of over 0.999 (measured by simulation).
-2. ``alike_links``: the texts of a component of these links meet, and all their pairs of sets are compared exactly, by a product of
-   0-1 matrices; a large component is cut into blocks that meet in pairs. Only a spanning forest of the pairs that are alike leaves a task.
+   skipped. The first 64 bits sort out nearly all pairs, the others decide on the rest. What a task finds connected
+   becomes a group, and only the groups' members leave it. At the radius taken, two sets that are exactly 0.8 alike are found with a probability of over 0.999 (measured by simulation).
+2. ``alike_links``: the texts of a group meet, and all their pairs of sets are compared exactly, by a product of 0-1 matrices; a large
+   group is cut into blocks that meet in pairs. Only a spanning forest of the pairs that are alike leaves a task.
 3. ``representatives``: one document of each component of those links.
 
 Scale: moved data is linear but for the blocks (a fingerprint visits each block of its band and of the two beside it, of BLOCK sets each);
@@ -135,22 +135,41 @@ def near(x: np.ndarray, y: np.ndarray, small: bool) -> Iterator[tuple[np.ndarray
                 yield i[keep], j[keep]
 
 
-PAIR = "node_a binary, node_b binary"
-
-
 def pairs_of(names: list[bytes], labels: Labels) -> pa.RecordBatch:
     a, b = labels.forest()
     return pa.RecordBatch.from_arrays([pa.array([names[k] for k in a.tolist()], pa.binary()), pa.array([names[k] for k in b.tolist()], pa.binary())], names=["node_a", "node_b"])
 
 
-def near_links(nodes: DataFrame, share: float, block: int = BLOCK) -> DataFrame:
-    """(node_a, node_b): pairs whose graph has the same components as all pairs of ``nodes`` (node, n, band, fp) within the radius and
-    with sizes within ``share``."""
+def cut(members: np.ndarray, sizes: np.ndarray, most: int) -> list[np.ndarray]:
+    """``members``, by size, in blocks of about ``most`` shingles, one member at least."""
+    members = members[np.argsort(sizes[members], kind="stable")]
+    step = np.cumsum(sizes[members]) // most
+    return np.split(members, np.flatnonzero(np.diff(step)) + 1)
+
+
+def meetings(labels: Labels, side: np.ndarray, sizes: np.ndarray, share: float, most: int) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """For each group: the blocks of its members that meet (the second is None where a block meets itself)."""
+    order = np.argsort(labels.root, kind="stable")
+    for group in np.split(order, np.flatnonzero(np.diff(labels.root[order])) + 1):
+        if len(group) < 2:
+            continue
+        two = side[group].any()
+        left = cut(group[side[group] == 0], sizes, most)
+        right = cut(group[side[group] == 1], sizes, most) if two else left
+        for i, x in enumerate(left):
+            for j, y in enumerate(right):
+                if (two or i <= j) and sizes[x[-1]] >= share * sizes[y[0]] - 1e-9 and sizes[y[-1]] >= share * sizes[x[0]] - 1e-9:
+                    yield x, y if two or i < j else None
+
+
+def near_groups(nodes: DataFrame, share: float, block: int = BLOCK, most: int = SHINGLES) -> DataFrame:
+    """(meeting, side, node): each two of ``nodes`` (node, n, band, fp) within the radius and with sizes within ``share`` are in one meeting,
+    on its two sides or both on side 0. A meeting's side has ``most`` shingles, or one node."""
     nodes = nodes.where("n > 0").select("node", "n", "band", "fp")
     # A band is a power of 1 / share, so these are a few dozen rows at any size of the table.
     counts = {r.band: -(-r["count"] // block) for r in nodes.groupBy("band").count().collect()}
     if not counts:
-        return nodes.select(F.col("node").alias("node_a"), F.col("node").alias("node_b")).limit(0)
+        return nodes.select(F.col("node").alias("meeting"), F.lit(0).alias("side"), "node").limit(0)
     blocks = F.element_at(F.create_map(*(F.lit(v) for item in counts.items() for v in item)), F.col("band"))
     nodes = nodes.withColumn("part", F.pmod(F.xxhash64("node"), blocks).cast("int")).repartition(partitions(nodes), "band", "part").sortWithinPartitions("band", "part")
 
@@ -183,20 +202,26 @@ def near_links(nodes: DataFrame, share: float, block: int = BLOCK) -> DataFrame:
     dealt = nodes.mapInArrow(deal, "key string, side int, names binary, fps binary, sizes binary")
     dealt = dealt.repartition(partitions(nodes), "key").sortWithinPartitions("key", "side")
 
-    def compared(sides: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
+    def compared(key: str, sides: list[tuple[bytes, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
         parts = []
         for names, fps, sizes in sides:
             fp = np.frombuffer(fps, dtype=U64).reshape(-1, BITS // 64)
             order = np.argsort(np.bitwise_count(fp).sum(axis=1, dtype=np.int64), kind="stable")
             parts.append(([names[16 * k : 16 * k + 16] for k in order.tolist()], fp[order], np.frombuffer(sizes, dtype="<i4")[order].astype(np.int64)))
-        (names_x, x, n_x), (names_y, y, n_y) = parts[0], parts[-1]
-        alone = len(parts) == 1
-        labels = Labels(len(names_x) if alone else len(names_x) + len(names_y))
+        (names, x, n_x), (names_y, y, n_y) = parts[0], parts[-1]
+        alone, shift = len(parts) == 1, 0
+        sizes, side = n_x, np.zeros(len(n_x), dtype=np.int64)
+        if not alone:
+            names, sizes, side, shift = names + names_y, np.concatenate([n_x, n_y]), np.repeat([0, 1], [len(n_x), len(n_y)]), len(n_x)
+        labels = Labels(len(names))
         for i, j in near(x, y, small=bool(n_x.min() < SMALL)):
             fits = (n_x[i] >= share * n_y[j] - 1e-9) & (n_y[j] >= share * n_x[i] - 1e-9)
             fits &= (i < j) if alone else True
-            labels.join(i[fits], j[fits] + (0 if alone else len(names_x)))
-        return pairs_of(names_x if alone else names_x + names_y, labels)
+            labels.join(i[fits], j[fits] + shift)
+        for k, (left, right) in enumerate(meetings(labels, side, sizes, share, most)):
+            both = left if right is None else np.concatenate([left, right])
+            name = xxhash.xxh3_128_digest(f"{key}-{k}")
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(both), pa.binary()), pa.array(np.repeat([0, 1], [len(left), len(both) - len(left)]), pa.int32()), pa.array([names[m] for m in both.tolist()], pa.binary())], names=["meeting", "side", "node"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, sides = None, []
@@ -204,15 +229,14 @@ def near_links(nodes: DataFrame, share: float, block: int = BLOCK) -> DataFrame:
             for key, _, *values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != at:
                     if sides:
-                        yield compared(sides)
+                        yield from compared(at, sides)
                         trim()
                     at, sides = key, []
                 sides.append(values)
         if sides:
-            # A block without its partner has only itself to meet where the key says so.
-            yield compared(sides)
+            yield from compared(at, sides)
 
-    return dealt.mapInArrow(run, PAIR)
+    return dealt.mapInArrow(run, "meeting binary, side int, node binary")
 
 
 def matrix(sets: list[np.ndarray], columns: np.ndarray) -> np.ndarray:
@@ -252,49 +276,31 @@ def alike(sets: list[np.ndarray], sides: list[int], share: float) -> Labels:
     return labels
 
 
-def alike_links(nodes: DataFrame, found: DataFrame, docs: DataFrame, text: str, share: float, most: int = SHINGLES) -> DataFrame:
-    """(node_a, node_b): pairs whose graph has the same components as all pairs at least ``share`` alike within the components of ``found``."""
-    roots = components(found, "node_a", "node_b")
-    members = checkpoint(nodes.join(roots, "node").select("root", "node", "n", "band", F.col("best.th").alias("th"), F.col("best.rk").alias("rk")))
-    # A cell is one band of one component; a component that is small is compared at once.
-    cells = members.groupBy("root", "band").agg(F.sum("n").alias("size"))
-    whole = Window.partitionBy("root")
-    near_by = whole.orderBy("band").rangeBetween
-    blocks = F.ceil(F.col("size") / most).cast("int")
-    cells = cells.withColumn("blocks", blocks).select(
-        "root", "band", (F.sum("size").over(whole) <= most).alias("__small"), "blocks", F.coalesce(F.max("blocks").over(near_by(1, 1)), F.lit(0)).alias("after"), F.coalesce(F.max("blocks").over(near_by(-1, -1)), F.lit(0)).alias("before")
-    )
-    members = members.join(cells, ["root", "band"]).withColumn("p", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    key = "named_struct('band', {}, 'p', {}, 'q', {}, 'next', {}, 'side', {})"
-    up_to = "transform(filter(sequence(0, {0}), q -> q < {0}), q -> {1})"
-    keys = f"""CASE WHEN __small THEN array({key.format(0, 0, 0, 0, 0)}) ELSE concat(
-        {up_to.format("blocks", key.format("band", "least(p, q)", "greatest(p, q)", 0, "cast(p > q AS int)"))},
-        {up_to.format("after", key.format("band", "p", "q", 1, 0))}, {up_to.format("before", key.format("band - 1", "q", "p", 1, 1))}) END"""
-    members = members.select("th", "rk", "node", "root", F.expr(keys).alias("keys"))
+def alike_links(nodes: DataFrame, groups: DataFrame, docs: DataFrame, text: str, share: float) -> DataFrame:
+    """(node_a, node_b): pairs whose graph has the same components as all pairs at least ``share`` alike that meet in ``groups``."""
+    members = checkpoint(groups.join(nodes.select("node", F.col("best.th").alias("th"), F.col("best.rk").alias("rk")), "node"))
     texts = docs.select(text_hash(text).alias("th"), F.xxhash64(*docs.columns).alias("rk"), F.col(text).cast("string").alias("__text"))
     texts = texts.join(members.select("th", "rk"), ["th", "rk"], "left_semi").groupBy("th", "rk").agg(F.min("__text").alias("__text"))
-    rows = texts.join(members, ["th", "rk"]).select("node", "root", F.explode("keys").alias("key"), "__text").select("root", "key.band", "key.p", "key.q", "key.next", "key.side", "node", "__text")
-    names = ["root", "band", "p", "q", "next"]
-    rows = rows.repartition(partitions(docs), *names).sortWithinPartitions(*names)
+    rows = texts.join(members, ["th", "rk"]).select("meeting", "side", "node", "__text")
+    rows = rows.repartition(partitions(docs), "meeting").sortWithinPartitions("meeting")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, at = WordHashes(), None
         sets, sides, held = [], [], []
         for batch in batches:
-            keys_ = zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True)
-            for key_, side, node, value in zip(keys_, batch.column(5).to_pylist(), batch.column(6).to_pylist(), as_bytes(batch.column(7)), strict=True):
-                if key_ != at:
+            for key, side, node, value in zip(*(batch.column(k).to_pylist() for k in range(3)), as_bytes(batch.column(3)), strict=True):
+                if key != at:
                     if len(held) > 1:
                         yield pairs_of(held, alike(sets, sides, share))
                         trim()
-                    at, sets, sides, held = key_, [], [], []
+                    at, sets, sides, held = key, [], [], []
                 sets.append(shingles(value, memo))
                 sides.append(side)
                 held.append(node)
         if len(held) > 1:
             yield pairs_of(held, alike(sets, sides, share))
 
-    return checkpoint(rows.mapInArrow(run, PAIR))
+    return rows.mapInArrow(run, "node_a binary, node_b binary")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text: str = "text", share: float = SHARE, block: int = BLOCK, most: int = SHINGLES) -> DataFrame:
@@ -308,8 +314,8 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     prints(docs, id_col, text, share).write.parquet(folder)
     best = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "th", "rk", "n", "band", "fp")).alias("best")
     nodes = checkpoint(spark.read.parquet(folder).groupBy("node").agg(best).select("node", "best.n", "best.band", "best.fp", "best"))
-    found = checkpoint(near_links(nodes, share, block))
-    roots = components(alike_links(nodes, found, docs, text, share, most), "node_a", "node_b")
+    groups = near_groups(nodes, share, block, most)
+    roots = components(alike_links(nodes, groups, docs, text, share), "node_a", "node_b")
     joined = nodes.select("node", "best").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
     stay = checkpoint(joined.select(F.col("best.th").alias("__near_text"), F.col("best.rk").alias("__near_key")))
     rows = docs.withColumns({"__near_text": text_hash(text), "__near_key": F.xxhash64(*docs.columns)}).join(stay, ["__near_text", "__near_key"], "left_semi")
