@@ -7,7 +7,7 @@ context vectors, with the index vector of a mark for each word that repeats the
 output, whose temperature is set on a fifth of the sample that the weights have not seen.
 
 Only the fit is bounded: FIT_ROWS labelled rows, those with the smallest hashes of doc_id, whose crc32(doc_id as text) mod 5 is not 0
-("held out" otherwise). Every document is scored over its whole text, from its words alone.
+("held out" otherwise), and of these, in that order, as many as have FIT_BYTES bytes of text. Every document is scored over its whole text, from its words alone.
 
 Cases: null and empty texts have zero vectors and a score like any other; a null doc_id is not held out and never in the sample; rows with
 a null label are none; with no labels, or one class only, the score is that class's smoothed share; repeated rows repeat; an empty
@@ -16,27 +16,30 @@ table gives an empty result; columns pass through.
 
 from __future__ import annotations
 
+import re
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from ._common import U64, as_bytes, steps
+from ._common import U64, as_bytes, steps, trim
 
 DIMS, NONZERO, VOCABULARY, REACH = 64, 8, 20_000, 2
 #: Words whose features a worker remembers.
 WORDS = 250_000
 FIT_ROWS, HIDDEN, ROUNDS, DECAY, THRESHOLD = 3000, 16, 400, 1e-3, 0.3
+#: UTF-8 bytes of the sample's texts at most.
+FIT_BYTES = 32 << 20
+RUNS = re.compile(rb"(.)\1+", re.S)
 SHAPES = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b for b in range(256))
 
 
 def shape(word: bytes) -> bytes:
     """Kinds of characters with runs made one: upper A, lower a, digit 0, else the character."""
-    kinds = word[:64].translate(SHAPES)
-    return bytes(c for k, c in enumerate(kinds) if not k or c != kinds[k - 1])
+    return RUNS.sub(rb"\1", word.translate(SHAPES))
 
 
 def vectors(hashes: np.ndarray) -> np.ndarray:
@@ -181,14 +184,22 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", rows: int = FIT_ROWS) -> dict:
-    """Fits on the bounded sample: ``rows`` labelled rows that are not held out."""
+def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", rows: int = FIT_ROWS, size: int = FIT_BYTES) -> dict:
+    """Fits on the bounded sample: ``rows`` labelled rows that are not held out, ``size`` bytes at most."""
     chosen = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("__q_id")).agg(F.max(label).alias("__q_label"))
     chosen = chosen.orderBy(F.xxhash64("__q_id"), "__q_id").limit(rows)  # rows * 2 numbers, so it may be broadcast
     found = docs.select(F.col(id_col).alias("__q_doc"), F.col(text).cast("string").alias("__q_text")).join(F.broadcast(chosen), F.col("__q_doc") == F.col("__q_id"))
-    found = found.groupBy("__q_id").agg(F.max("__q_label").alias("y"), F.min("__q_text").alias("t")).collect()
-    found.sort(key=lambda r: xxhash.xxh64_intdigest(str(r[0])))
-    return fit([(r.t or "").encode() for r in found], [int(r.y) for r in found])
+    found = found.groupBy("__q_id").agg(F.max("__q_label").alias("y"), F.min("__q_text").alias("t"))
+    # A window over the sample alone, ``rows`` rows at most.
+    so_far = Window.orderBy(F.xxhash64("__q_id"), "__q_id").rowsBetween(Window.unboundedPreceding, 0)
+    found = found.withColumn("__q_sum", F.sum(F.coalesce(F.octet_length("t"), F.lit(0))).over(so_far)).where(F.col("__q_sum") <= size)
+    texts, labels_ = [], []
+    for r in sorted(found.select("__q_id", "y", "t").collect(), key=lambda r: xxhash.xxh64_intdigest(str(r[0]))):
+        texts.append((r.t or "").encode())
+        labels_.append(int(r.y))
+    model = fit(texts, labels_)
+    trim()
+    return model
 
 
 def score_quality(docs: DataFrame, model: dict, text: str = "text", score: str = "score") -> DataFrame:

@@ -53,6 +53,17 @@ def test_vectors_are_sparse_and_fixed():
     made = Q.vectors(hashes)
     assert (made == Q.vectors(hashes)).all() and (np.abs(made).sum(axis=1) <= Q.NONZERO).all()
     assert Q.shape(b"Hello%%% 42") == b"Aa% 0"
+    assert Q.shape(b"a" * 5000 + b"7!") == b"a0!"
+
+
+def test_sample_is_bounded_in_rows_and_bytes(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "x" * 100) for k in range(50)], "doc_id long, text string")
+    labels, seen = docs.selectExpr("doc_id", "int(doc_id % 2) AS quality"), []
+    monkeypatch.setattr(Q, "fit", lambda texts, y: seen.append(texts))
+    Q.fit_on(docs, labels, rows=20)
+    Q.fit_on(docs, labels, rows=20, size=1050)
+    Q.fit_on(docs, labels, rows=20, size=10)
+    assert list(map(len, seen)) == [20, 10, 0]
 
 
 def test_pooled_mean_of_words():
