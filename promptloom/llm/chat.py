@@ -8,7 +8,7 @@ output can be read back exactly. The loss mask covers each assistant text, as es
 ``format_turns`` streams a table of turns (conv_id, turn, role, text), sorted within its partition, so that a conversation of
 any length needs no more memory than a turn; ``format_records`` formats JSON records of mixed layouts, one at a time.
 
-Cases: null texts and roles are empty; any role is kept; turns that tie are ordered by role, then text; repeated rows
+Cases: null texts and roles are empty; ``format_turns`` keeps any role as it is, ``format_records`` gives ROLES their usual names; turns that tie are ordered by role, then text; repeated rows
 repeat their turn; rows with a null conv_id form one conversation; a record that is null, not an object or of an unknown layout
 has no turns and the layout null; an empty table gives an empty result.
 """
@@ -44,7 +44,7 @@ LAYOUTS = [
     ("prompt_response", ["prompt", "response"], ["system"], [("system", ["system"]), ("user", ["prompt"]), ("assistant", ["response"])]),
     ("question_answer", ["question", "answer"], ["context", "system"], [("system", ["system"]), ("user", ["context", "question"]), ("assistant", ["answer"])]),
 ]
-#: Other names of roles.
+#: Other names of roles, in records.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 KNOWN = {p for _, need, may, _ in LAYOUTS for p in need + may}
 
@@ -78,7 +78,8 @@ def canonical_turns(record: object) -> tuple[str | None, list[tuple[str, str]]]:
             for item in record[step[1]] if step[1] else [record]:
                 if isinstance(item, dict):
                     role = as_text(item.get(step[2]))
-                    turns.append((ROLES.get(role, role), as_text(item.get(step[3]))))
+                    # Within a list of messages roles go by several names; a table's roles are what they are.
+                    turns.append((ROLES.get(role, role) if step[1] else role, as_text(item.get(step[3]))))
         elif had := [as_text(record[f]) for f in step[1] if record.get(f)]:
             turns.append((step[0], "\n\n".join(had)))
     return layout, turns

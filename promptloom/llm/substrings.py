@@ -7,8 +7,8 @@ sequence also starts in a document with a smaller doc_id.
    equal places, and neighbouring windows mostly share theirs. A reference block is the run of windows of one
    document with one anchor. ``block_index`` sends each block, as 48 anchor bits and 40 bits of each window
    (88 bits and the seed's order, so that equal keys are equal windows), to the index shard of its anchor.
-   Within one step of a map task, windows already seen under a smaller doc_id are settled there and not sent,
-   so a passage in a third of all documents costs a shard one window a step, not one a document.
+   Windows already seen under a smaller doc_id in one step of a map task, or again and again in earlier steps of it, are settled
+   there and not sent, so a passage in a third of all documents costs a shard one window a task, not one a document.
 2. Factors. Each shard sorts its windows by key, doc_id and place, and points every window to its first
    occurrence under the smallest doc_id. Runs that advance in step in the document and in that reference
    become factors (reference doc_id, place in it, length).
@@ -20,7 +20,7 @@ Scale: two shuffles, about 7 bytes a word and the text once; nothing grows with
 Decisions stream into the rows of their document, sorted, so no task holds more than a document at once.
 
 Cases: null and empty texts have no words; rows with a null doc_id are judged against all others and are nobody's
-reference, as are rows with an equal doc_id among each other; repeated rows get equal results, one each; an empty
+reference, as are rows with an equal doc_id among each other (they are told apart by 64 bits of their texts); repeated rows get equal results, one each; an empty
 table gives an empty result.
 """
 
@@ -43,11 +43,13 @@ WINDOW, SEED = 13, 5
 NONE = np.iinfo(np.int64).max
 #: Index shards a shuffle partition; bounds what one shard's sort holds.
 SHARDS = 8
+#: Windows that a map task remembers because they came more than once in a step.
+OFTEN = 200_000
 
 
 def tag(text: bytes) -> int:
-    """16 bits of a text, to tell rows with one doc_id apart."""
-    return xxhash.xxh64_intdigest(text, 11) & 0xFFFF
+    """64 bits of a text, as a signed number, to tell rows with one doc_id (or none) apart."""
+    return xxhash.xxh64_intdigest(text, 11) - (1 << 63)
 
 
 def anchored(hashes: np.ndarray, lengths: np.ndarray, window: int, seed: int) -> tuple[np.ndarray, ...]:
@@ -79,6 +81,38 @@ def first_occurrences(k1: np.ndarray, k2: np.ndarray, doc: np.ndarray, start: np
     return order[later], doc[head[later]], start[head[later]]
 
 
+class Often:
+    """Windows that came more than once in a step of this task, with their first occurrence under the smallest doc_id so far.
+
+    A later window of the same words under a larger doc_id is settled by it and need not be sent, so that a passage which all
+    documents share costs a shard one window a task. What is remembered is bounded; forgetting costs data, no result.
+    """
+
+    def __init__(self, most: int = OFTEN):
+        self.most = most
+        self.k1 = self.k2 = np.zeros(0, dtype=U64)
+        self.doc = self.start = np.zeros(0, dtype=np.int64)
+
+    def settled(self, k1: np.ndarray, k2: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places whose window is remembered under a smaller doc_id, and that doc_id and its start."""
+        if not len(self.k1):
+            none = np.zeros(0, dtype=np.int64)
+            return none, none, none
+        at = np.minimum(np.searchsorted(self.k2, k2), len(self.k2) - 1)
+        hit = np.flatnonzero((self.k2[at] == k2) & (self.k1[at] == k1) & (self.doc[at] < doc))
+        return hit, self.doc[at[hit]], self.start[at[hit]]
+
+    def learn(self, k1: np.ndarray, k2: np.ndarray, doc: np.ndarray, start: np.ndarray) -> None:
+        """First occurrences of windows that came again."""
+        if len(self.k1) + len(k1) > self.most:
+            self.__init__(self.most)
+        k1, k2, doc, start = (np.concatenate(v)[: self.most] for v in ((self.k1, k1), (self.k2, k2), (self.doc, doc), (self.start, start)))
+        # One window for each k2; another one of the same k2 is just not remembered.
+        order = np.lexsort((start, doc, k1, k2))
+        order = order[np.flatnonzero(np.diff(k2[order], prepend=~k2[order][:1]) != 0)]
+        self.k1, self.k2, self.doc, self.start = k1[order], k2[order], doc[order], start[order]
+
+
 def factor_runs(doc: np.ndarray, mark: np.ndarray, start: np.ndarray, ref: np.ndarray, ref_start: np.ndarray) -> tuple[np.ndarray, ...]:
     """Windows joined to runs that advance in step: (doc, mark, start, windows, reference, its start)."""
     order = np.lexsort((start, mark, doc))
@@ -105,7 +139,7 @@ def unpack(value: bytes, kinds: list[str]) -> list[np.ndarray]:
 
 
 #: Of blocks: doc_id steps, tags, starts, windows each. Of settled factors: the six arrays of factor_runs.
-BLOCK_KINDS, FACTOR_KINDS = ["<i8", "<u2", "<i4", "<u2"], ["<i8", "<u2", "<i4", "<i4", "<i8", "<i4"]
+BLOCK_KINDS, FACTOR_KINDS = ["<i8", "<i8", "<i4", "<u2"], ["<i8", "<i8", "<i4", "<i4", "<i8", "<i4"]
 
 
 def low_bytes(values: np.ndarray, n: int) -> bytes:
@@ -118,14 +152,21 @@ def from_low_bytes(raw: bytes, n: int) -> np.ndarray:
     return wide.reshape(-1).view("<u8")
 
 
-def block_rows(ids: np.ndarray, tags: np.ndarray, hashes: np.ndarray, lengths: np.ndarray, shards: int, window: int, seed: int) -> list[tuple]:
+def block_rows(ids: np.ndarray, tags: np.ndarray, hashes: np.ndarray, lengths: np.ndarray, shards: int, window: int, seed: int, often: Often) -> list[tuple]:
     """(shard, anchors, windows, blocks, factors) rows of one step; ids ascend."""
     doc, start, anchor, full, place = anchored(hashes, lengths, window, seed)
     if not len(doc):
         return []
     k1, k2 = anchor & U64((1 << 48) - 1), full & U64((1 << 40) - 1)
     rows = []
-    at, ref, ref_start = first_occurrences(k1, k2, ids[doc], start)
+    at, ref, ref_start = often.settled(k1, k2, ids[doc])
+    rest = np.ones(len(doc), dtype=bool)
+    rest[at] = False
+    rest = np.flatnonzero(rest)
+    again, first, first_start = first_occurrences(k1[rest], k2[rest], ids[doc[rest]], start[rest])
+    again = rest[again]
+    often.learn(k1[again], k2[again], first, first_start)
+    at, ref, ref_start = np.concatenate([at, again]), np.concatenate([ref, first]), np.concatenate([ref_start, first_start])
     if len(at):
         got = factor_runs(ids[doc[at]], tags[doc[at]], start[at], ref, ref_start)
         shard = int(got[2][0] + got[0][0]) % shards
@@ -150,14 +191,14 @@ def block_rows(ids: np.ndarray, tags: np.ndarray, hashes: np.ndarray, lengths: n
 
 
 INDEX = "shard int, anchors binary, windows binary, blocks binary, factors binary"
-FACTORS = "doc_id long, mark int, start int, n int, ref_doc long, ref_start int"
+FACTORS = "doc_id long, mark long, start int, n int, ref_doc long, ref_start int"
 
 
 def block_index(docs: DataFrame, shards: int, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """Reference blocks of (doc_id, __text), packed by step and shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
+        memo, often = WordHashes(), Often()
         for batch in steps(batches, "__text"):
             ids = np.array([NONE if x is None else x for x in batch.column(0).to_pylist()], dtype=np.int64)
             order = np.argsort(ids, kind="stable")
@@ -166,7 +207,7 @@ def block_index(docs: DataFrame, shards: int, window: int = WINDOW, seed: int =
             words = [x.split() for x in texts]
             lengths = np.array([len(w) for w in words], dtype=np.int64)
             hashes = memo.of([w for ws in words for w in ws])
-            rows = block_rows(ids[order], np.array([tag(x) for x in texts], dtype="<u2"), hashes, lengths, shards, window, seed)
+            rows = block_rows(ids[order], np.array([tag(x) for x in texts], dtype="<i8"), hashes, lengths, shards, window, seed, often)
             kinds = [pa.int32(), *[pa.binary()] * 4]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f.split()[0] for f in INDEX.split(", ")])
@@ -179,7 +220,7 @@ def index_factors(index: DataFrame, parts: int) -> DataFrame:
 
     def emit(got: tuple[np.ndarray, ...]) -> pa.RecordBatch:
         doc, mark, start, n, ref, ref_start = got
-        arrays = [pa.array(doc, pa.int64()), pa.array(mark.astype(np.int32)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(ref, pa.int64()), pa.array(ref_start.astype(np.int32))]
+        arrays = [pa.array(doc, pa.int64()), pa.array(mark.astype(np.int64)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(ref, pa.int64()), pa.array(ref_start.astype(np.int32))]
         return pa.RecordBatch.from_arrays(arrays, names=[f.split()[0] for f in FACTORS.split(", ")])
 
     def shard_factors(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -247,11 +288,11 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tags = pa.array([tag(x) for x in as_bytes(batch.column(1))], pa.int32())
+            tags = pa.array([tag(x) for x in as_bytes(batch.column(1))], pa.int64())
             ids = batch.column(0)
             yield pa.RecordBatch.from_arrays([ids.fill_null(NONE), tags, ids.is_null(), batch.column(1)], names=["doc_id", "mark", "none", "__text"])
 
-    texts = rows.mapInArrow(mark, "doc_id long, mark int, none boolean, __text string")
+    texts = rows.mapInArrow(mark, "doc_id long, mark long, none boolean, __text string")
     none = F.lit(None)
     both = texts.select(F.lit(1).alias("kind"), "doc_id", "mark", "none", "__text", *(none.cast(t).alias(c) for c, t in (("start", "int"), ("n", "int"), ("ref_doc", "long"), ("ref_start", "int"))))
     both = both.union(factors.select(F.lit(0), "doc_id", "mark", none.cast("boolean"), none.cast("string"), "start", "n", "ref_doc", "ref_start"))

@@ -66,3 +66,11 @@ def test_digests_of_awkward_conversations(spark):
     got = chat.digests(chat.format_turns(df)).collect()
     assert sorted(((r.conv_id, r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in got), key=str) == brute(rows)
     assert chat.digests(chat.format_turns(df.limit(0))).collect() == []
+
+
+def test_roles_of_a_table_are_kept(spark):
+    roles = ["human", "gpt", "bot", "model", "Assistant", "assistant", None, "a\nb <|im_end|>"]
+    rows = [(1, k, r, f"text {k}") for k, r in enumerate(roles)]
+    got = chat.digests(chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()[0]
+    assert got.turns_sha256 == hashlib.sha256("".join(f"{r or ''}\n{t}\n" for _, _, r, t in rows).encode()).hexdigest()
+    assert (got.n_turns, got.loss_chars, got.loss_sha256) == (8, 6, hashlib.sha256(b"text 5").hexdigest())

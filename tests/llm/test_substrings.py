@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import numpy as np
+
 from promptloom.llm import substrings as S
 
 from .cases import documents, frame
@@ -70,3 +72,35 @@ def test_parse_checks_boundaries():
 def test_one_document_needs_no_reference(spark):
     text = " ".join(["same words again and again"] * 20)
     assert result(frame(spark, [(1, text)])) == brute([(1, text)])
+
+
+def test_rows_without_an_id_or_with_one_id_do_not_mix(spark):
+    rng, passage = random.Random(8), " ".join(f"p{k}" for k in range(30))
+    rows = [(1, passage)]
+    for doc in (None, 7):
+        for k in range(2000):
+            own = " ".join(f"w{rng.randrange(10**9)}" for _ in range(rng.randrange(14, 20)))
+            rows.append((doc, f"{passage} {own}" if k % 5 == 0 else own))
+    assert result(frame(spark, rows)) == brute(rows)
+
+
+def test_windows_that_come_often_are_settled_early(spark, monkeypatch):
+    from promptloom.llm import _common
+
+    monkeypatch.setattr(_common, "STEP_BYTES", 2000)
+    rng, passage = random.Random(9), " ".join(f"p{k}" for k in range(40))
+    rows = [(d, " ".join([f"a{rng.randrange(10**6)}" for _ in range(15)] + ([passage] if d % 3 else [passage.replace("p7", "q")]))) for d in rng.sample(range(500), 300)]
+    df = spark.createDataFrame(rows, "doc_id long, __text string").coalesce(1)
+    assert result(df.withColumnRenamed("__text", "text")) == brute(rows)
+
+    def sent(most):
+        often, k = S.Often(most), 0
+        memo = S.WordHashes()
+        for at in range(0, len(rows), 10):
+            some = sorted(rows[at : at + 10])
+            words = [t.encode().split() for _, t in some]
+            got = S.block_rows(np.array([d for d, _ in some]), np.zeros(10, dtype="<i8"), memo.of([w for x in words for w in x]), np.array(list(map(len, words))), 4, S.WINDOW, S.SEED, often)
+            k += sum(len(r[2]) // 5 for r in got if r[2] is not None)
+        return k
+
+    assert sent(S.OFTEN) < sent(0) - 500
