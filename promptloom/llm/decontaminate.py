@@ -30,6 +30,8 @@ SPACED = ("11101011", "1100101011", "110100100111")
 #: With the runs that WINDOW and SHARE need; an item is hashed by the spaced masks and by its own run.
 MASKS = (*SPACED, "1111", "111")
 WINDOW, SHARE, MIN_ITEM, BLOCK_WORDS = 13, 0.8, 8, 500_000
+#: Hits whose alignments are made distinct at a time; a seed with more is marked on a map of its item's alignments.
+HITS_HELD = 1 << 18
 #: Bits of the table that keeps most words away from the exact lookup.
 FILTER_BITS = 20
 HITS = "array<struct<item_id:bigint,start:int,n_words:int,n_equal:int>>"
@@ -77,15 +79,35 @@ class Seeds:
 
     def alignments(self, hashes: np.ndarray) -> np.ndarray:
         """Distinct (item, place of the item's first word) rows over concatenated documents' word hashes."""
-        found = [np.zeros((0, 2), dtype=np.int64)]
+        shift = max((len(w) for w in self.words), default=0)
+        span = len(hashes) + 2 * shift
+        found = np.zeros(0, dtype=np.int64)  # item * span + place + shift
         for k, (at, (keys, item, place, seen)) in enumerate(zip(self.masks, self.tables, strict=True)):
             got = rolling(hashes, at, k)
             near = np.flatnonzero(seen[got >> U64(64 - FILTER_BITS)])
             a, b = np.searchsorted(keys, got[near], side="left"), np.searchsorted(keys, got[near], side="right")
-            n = b - a
-            entry = ranges(a, n)
-            found.append(np.stack([item[entry], np.repeat(near, n) - place[entry]], axis=1))
-        return np.unique(np.concatenate(found), axis=0)
+            # A seed that repeats in the text and in an item has many hits on few diagonals: these are marked, not listed.
+            first, back, times = np.unique(a, return_inverse=True, return_counts=True)
+            often = (times * np.diff(np.append(first, len(keys))) > HITS_HELD) if len(first) else np.zeros(0, dtype=bool)
+            for f in np.flatnonzero(often).tolist():
+                own = back == f
+                places, to = near[own], int(b[own][0])
+                for i in np.unique(item[first[f] : to]).tolist():
+                    marked = np.zeros(span, dtype=bool)
+                    for q in place[first[f] : to][item[first[f] : to] == i].tolist():
+                        marked[places - q + shift] = True
+                    found = np.concatenate([found, i * span + np.flatnonzero(marked)])
+            rest = ~often[back] if len(first) else np.zeros(0, dtype=bool)
+            near, a, n = near[rest], a[rest], (b - a)[rest]
+            total = np.concatenate([[0], np.cumsum(n)])
+            at = 0
+            while at < len(near):
+                to = max(at + 1, int(np.searchsorted(total, total[at] + HITS_HELD, side="right")) - 1)
+                entry = ranges(a[at:to], n[at:to])
+                found = np.unique(np.concatenate([found, item[entry] * span + np.repeat(near[at:to], n[at:to]) - place[entry] + shift]))
+                at = to
+        found = np.unique(found)
+        return np.stack([found // max(1, span), found % max(1, span) - shift], axis=1)
 
 
 def overlap(doc: np.ndarray, item: np.ndarray, at: int, window: int = WINDOW, share: float = SHARE) -> tuple[int, int, int] | None:
@@ -99,10 +121,10 @@ def overlap(doc: np.ndarray, item: np.ndarray, at: int, window: int = WINDOW, sh
     good = np.flatnonzero(total[size:] - total[:-size] >= need)
     if not len(good):
         return None
-    inside = np.zeros(len(equal), dtype=bool)
-    for g in good:
-        inside[g : g + size] = True
-    where = np.flatnonzero(inside & equal)
+    edges = np.zeros(len(equal) + 1, dtype=np.int64)
+    edges[good] = 1
+    edges[good + size] -= 1
+    where = np.flatnonzero((np.cumsum(edges[:-1]) > 0) & equal)
     return a + int(where[0]), int(where[-1] - where[0]) + 1, len(where)
 
 
@@ -123,7 +145,7 @@ def blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", hits: str = "contamination", window: int = WINDOW, share: float = SHARE) -> DataFrame:
     """``docs`` with the column ``hits``: for each item that a text overlaps, item_id, start word, words and equal words of
-    the alignment with the most equal words (the first of these)."""
+    the alignment with the most equal words (the first of these). A column that is called like ``hits`` is replaced."""
     out = docs.withColumn(hits, F.array().cast(HITS))
     for block in blocks(benchmark, item_id, item_text):
         out = scan(out, docs.sparkSession.sparkContext.broadcast(block), text, hits, window, share)
@@ -131,7 +153,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
 
 
 def scan(docs: DataFrame, block, text: str, hits: str, window: int, share: float) -> DataFrame:
-    at = docs.columns.index(text)
+    at, own = docs.columns.index(text), docs.columns.index(hits)
     schema: StructType = docs.schema
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("n_words", pa.int32()), ("n_equal", pa.int32())]))
 
@@ -148,13 +170,17 @@ def scan(docs: DataFrame, block, text: str, hits: str, window: int, share: float
                 a, b = np.searchsorted(ends, [max(0, place), min(len(hashes), place + len(seeds.words[item])) - 1], side="right")
                 for d in range(a, b + 1):
                     first = int(ends[d] - lengths[d])
+                    if (d, item) in best and best[d, item][2] == len(seeds.words[item]):
+                        continue  # places ascend, so nothing better comes
                     got = overlap(hashes[first : ends[d]], seeds.words[item], place - first, window, share)
                     if got and (-got[2], got[0]) < (lambda g: (-g[2], g[0]))(best.get((d, item), (1 << 60, 0, -1))):
                         best[d, item] = got
-            found = batch.column(batch.num_columns - 1).to_pylist()
+            found = batch.column(own).to_pylist()
             for (d, item), (start, n, equal) in sorted(best.items()):
                 found[d] = [*(found[d] or []), {"item_id": seeds.names[item], "start": start, "n_words": n, "n_equal": equal}]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, kind)], names=batch.schema.names)
+            columns = batch.columns
+            columns[own] = pa.array(found, kind)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -162,4 +188,6 @@ def scan(docs: DataFrame, block, text: str, hits: str, window: int, share: float
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that overlap no benchmark item."""
     mark = "__contamination"
+    while mark in docs.columns:
+        mark += "_"
     return find_overlaps(docs, benchmark, text, hits=mark, **options).where(F.size(mark) == 0).drop(mark)

@@ -72,6 +72,20 @@ scored AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(list_inner_product(q.v, d
            FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+    "op5_benchmark_decontamination": r"""
+WITH dw AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS p, len(ws) AS n_doc FROM
+             (SELECT doc_id, list_filter(string_split_regex(regexp_replace(lower(coalesce(text, '')), '[!-/:-@\[-`{-~]', ' ', 'g'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents)),
+iw AS (SELECT item_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS q, len(ws) AS n_item, least(13, len(ws)) AS size,
+              CASE WHEN len(ws) < 8 THEN len(ws) ELSE (4 * least(13, len(ws)) + 4) // 5 END AS need FROM
+             (SELECT item_id, list_filter(string_split_regex(regexp_replace(lower(coalesce(text, '')), '[!-/:-@\[-`{-~]', ' ', 'g'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM benchmark)),
+lined AS (SELECT doc_id, item_id, p - q AS place, any_value(n_doc) AS n_doc, any_value(n_item) AS n_item, any_value(size) AS size, any_value(need) AS need, list(p) AS ps
+          FROM dw JOIN iw USING (word) GROUP BY ALL HAVING count(*) >= any_value(need)),
+places AS (SELECT doc_id, item_id, place, size, need, ps, unnest(generate_series(greatest(0, place), least(n_doc, place + n_item) - size)) AS s FROM lined),
+good AS (SELECT * FROM places WHERE len(list_filter(ps, lambda p: p >= s AND p < s + size)) >= need),
+inside AS (SELECT doc_id, item_id, place, unnest(list_filter(ps, lambda p: p >= s AND p < s + size)) AS p FROM good),
+found AS (SELECT doc_id, item_id, place, min(p) AS start, max(p) - min(p) + 1 AS n_words, count(DISTINCT p) AS n_equal FROM inside GROUP BY ALL)
+SELECT doc_id, item_id, CAST(start AS INTEGER) AS start, CAST(n_words AS INTEGER) AS n_words, CAST(n_equal AS INTEGER) AS n_equal FROM found
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_equal DESC, start, place) = 1""",
     "op4_chat_format": r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')

@@ -7,27 +7,26 @@ from .cases import documents, frame, prose
 
 
 def brute(docs, items, window=D.WINDOW, share=D.SHARE):
-    """Every alignment that shares a seed, by comparing words."""
-    masks = [D.offsets(m) for m in D.MASKS]
+    """Every alignment by the rule, by comparing words; no seed is asked for."""
     out = set()
     for k, (doc, text) in enumerate(docs):
         d = D.words_of(text)
         for item, body in items:
             w = D.words_of(body)
-            if len(w) < D.MIN_ITEM:
+            if not w:
                 continue
-            size, best = min(window, len(w)), None
+            size, need = D.rule(len(w), window, share)
+            best = None
             places = {x: [q for q, y in enumerate(w) if x == y] for x in set(w)}
             shared = Counter(p - q for p, x in enumerate(d) for q in places.get(x, ()))
-            for at in sorted(a for a, n in shared.items() if n >= 6):  # no mask has fewer ones
+            for at in sorted(a for a, n in shared.items() if n >= need):
                 span = range(max(0, at), min(len(d), at + len(w)))
                 equal = {p: d[p] == w[p - at] for p in span}
-                seeded = any(all(equal.get(p + o, False) for o in m) for m in masks for p in span)
-                good = [p for p in span if p + size - 1 in equal and sum(equal[q] for q in range(p, p + size)) >= share * size - 1e-9]
-                if seeded and good:
+                good = [p for p in span if p + size - 1 in equal and sum(equal[q] for q in range(p, p + size)) >= need]
+                if good:
                     inside = {q for p in good for q in range(p, p + size) if equal[q]}
                     got = (len(inside), -min(inside), max(inside) - min(inside) + 1)
-                    best = max(best, got) if best else got
+                    best = max(best, got, key=lambda g: g[:2]) if best else got
             if best:
                 out.add((k, item, -best[1], best[2], best[0]))
     return out
@@ -111,3 +110,44 @@ def test_every_overlap_that_counts_is_found(spark):
     got = {(r.doc_id, h.item_id) for r in found for h in r.contamination}
     want = complete(docs, items)
     assert got == want and (len(docs) - 1, 12) in got and len(want) > 100
+
+
+def test_patterns_of_all_small_items(spark):
+    """Each way to change words that the rule still counts, for items of 8 to 13 words: recall 1."""
+    from itertools import combinations
+
+    items, docs = [], []
+    for n in range(8, 14):
+        words = [f"i{n}w{q}" for q in range(n)]
+        items.append((n, " ".join(words)))
+        for changed in range(n - D.rule(n)[1] + 1):
+            docs += [(n, " ".join(["lead", *("x" if q in at else w for q, w in enumerate(words)), "tail"])) for at in combinations(range(n), changed)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = D.find_overlaps(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert len(found) > 250 and all([h.item_id for h in r.contamination] == [r.doc_id] for r in found)
+
+
+def test_text_of_one_word_stays_bounded(spark):
+    import resource
+    import time
+
+    bench = spark.createDataFrame([(1, "same " * 400), (2, "same " * 20 + "other")], "item_id long, text string")
+    began = time.time()
+    block = D.Seeds([(1, [b"same"] * 400), (2, [b"same"] * 20 + [b"other"])])
+    hashes = D.WordHashes().of([b"same"] * 100_000)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert len(block.alignments(hashes)) > 100_000
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000  # kB
+    df = spark.createDataFrame([(1, "same " * 5_000)], "doc_id long, text string")
+    got = D.find_overlaps(df, bench).collect()[0].contamination
+    assert sorted((h.item_id, h.n_equal) for h in got) == [(1, 400), (2, 20)]
+    assert time.time() - began < 120
+
+
+def test_column_that_is_called_like_the_hits(spark):
+    df = spark.createDataFrame([("old", 1, "no overlap", 5)], "contamination string, doc_id long, text string, last int")
+    bench = spark.createDataFrame([(1, "some words of an item that is not there")], "item_id long, text string")
+    got = D.find_overlaps(df, bench).collect()[0]
+    assert got.last == 5 and got.contamination == []
+    marked = df.withColumnRenamed("contamination", "__contamination")
+    assert D.decontaminate(marked, bench).collect() == marked.collect()
