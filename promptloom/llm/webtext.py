@@ -95,6 +95,7 @@ class Page:
 
     def read(self, html: str) -> None:
         stack: list[tuple[str, int]] = [("", 0)]
+        open_at: dict[str, list[int]] = {}  # places on the stack, by name, so that no tag looks through the stack
         at, links, size = 0, 0, len(html)
         m, sought, tag_end = None, False, TagEnds(html)
 
@@ -106,6 +107,7 @@ class Page:
             nonlocal links
             for name, _ in stack[k:]:
                 links -= name == "a"
+                open_at[name].pop()
                 if name not in INLINE:
                     self.pieces.append(None)
             del stack[k:]
@@ -136,13 +138,15 @@ class Page:
             if not name:
                 continue
             if closing:
-                k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name), 0)
-                if k:
-                    close(k)
+                if open_at.get(name):
+                    close(open_at[name][-1])
                 continue
             if name not in INLINE:
                 self.pieces.append(None)
-                self.imply_ends(name, stack, close)
+                ends, stop = CLOSED_BY.get(name, ({"p"}, SCOPE))
+                last = lambda names: max((open_at[x][-1] for x in names if open_at.get(x)), default=0)
+                if (k := last(ends)) and k >= last(stop):
+                    close(k)
             if name in VOID:
                 continue
             kinds = 0
@@ -166,23 +170,11 @@ class Page:
                 self.barred.append(self.barred[node] or name in NO_TEXT)
                 node = len(self.tag) - 1
             if not attributes.endswith("/") or name not in NO_TEXT:
+                open_at.setdefault(name, []).append(len(stack))
                 stack.append((name, node))
                 links += name == "a"
         close(1)
 
-    @staticmethod
-    def imply_ends(name: str, stack: list, close) -> None:
-        ends, stop = CLOSED_BY.get(name, ({"p"}, SCOPE))
-        found = 0
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in ends:
-                found = k
-                break
-            if stack[k][0] in stop:
-                break
-        if found:
-            close(found)
-
 
 def features(page: Page) -> np.ndarray:
     """One row a node."""

@@ -74,3 +74,21 @@ def test_unclosed_quotes_cost_linear_time():
     start = time.perf_counter()
     ends = W.TagEnds("<x a='" + '<y b="1" ' * 200_000)
     assert not any(ends.after(k) for k in range(2, 1_800_000, 9)) and time.perf_counter() - start < 20
+
+
+def test_deep_and_stray_tags_take_linear_time():
+    import time
+
+    for make in (lambda n: "<x-a>" * n + "text", lambda n: "<b>" * n + "</i>" * n + "text", lambda n: "<div>" * n + "<p>text", lambda n: "<p>" * n + "</x-y>" * n, lambda n: "<li><x-b>" * n + "</li>" * n):
+        took = []
+        for n in (20_000, 200_000):
+            began = time.perf_counter()
+            W.Page(make(n))
+            took.append(time.perf_counter() - began)
+        assert took[1] < 40 * max(took[0], 0.05)
+
+
+def test_deep_page_is_extracted():
+    text = "words of the article that go on for a while, with commas, and stops. " * 20
+    page = "<html><body>" + "<div>" * 20_000 + f"<article><p>{text}</p></article>" + "</div>" * 20_000 + "</body></html>"
+    assert W.extract([page], W.train()) == [text.strip()]
