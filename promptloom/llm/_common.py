@@ -8,6 +8,7 @@ what ``bytes.split()`` gives for UTF-8.
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -28,15 +29,24 @@ TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 def shared_folder(session: SparkSession) -> str:
     """The checkpoint folder that driver and executors share.
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a temporary folder
+    It is the session's ``spark.checkpoint.dir``; only where that is unset and driver and executors are one process, a temporary folder
     is made.
     """
     sc = session.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(session.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = session.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc.getCheckpointDir()
 
 
+def remove(session: SparkSession, folder: str) -> None:
+    """Deletes a folder that this library wrote, in whichever store it is."""
+    path = session._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back, its lineage cut."""
     shared_folder(df.sparkSession)

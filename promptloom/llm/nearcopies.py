@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ._common import U64, WordHashes, as_bytes, checkpoint, mix, partitions, rolling, shared_folder, steps, trim
+from ._common import U64, WordHashes, as_bytes, checkpoint, mix, partitions, remove, rolling, shared_folder, steps, trim
 from .components import components
 
 SHINGLE, SHARE, BITS = 5, 0.8, 256
@@ -314,6 +314,7 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     prints(docs, id_col, text, share).write.parquet(folder)
     best = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "th", "rk", "n", "band", "fp")).alias("best")
     nodes = checkpoint(spark.read.parquet(folder).groupBy("node").agg(best).select("node", "best.n", "best.band", "best.fp", "best"))
+    remove(spark, folder)
     groups = near_groups(nodes, share, block, most)
     roots = components(alike_links(nodes, groups, docs, text, share), "node_a", "node_b")
     joined = nodes.select("node", "best").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
