@@ -117,7 +117,18 @@ def judge_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs(spark, sf_dir).select("conv_id", "turn", B.length_ok(a, b).alias("length_ok"), B.refusal_match(a, b).alias("refusal_match"), B.entity_coverage(a, F.array(F.lit("The"), F.lit("ZZZ"))).alias("entities"))
 
 
-@query()
+JACCARD = "CASE WHEN len(list_distinct(list_concat({0}, {1}))) = 0 THEN 1e0 ELSE len(list_intersect({0}, {1})) / len(list_distinct(list_concat({0}, {1}))) END"
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, a, b, {_answer('a')} AS p, {_answer('b')} AS g, {_answer('left(b, 40)')} AS o FROM {PAIR}),
+x AS (SELECT *, {BIGRAMS.format('p')} AS x, {BIGRAMS.format('g')} AS y FROM t),
+j AS (SELECT *, {JACCARD.format('x', 'y')} AS j, CAST(greatest(1, len({sql_words('a')})) / greatest(1, len({sql_words('b')})) BETWEEN 0.5 AND 2.0 AS INTEGER) AS length_ok, CAST({sql_word('a', T.REFUSALS)} = {sql_word('b', T.REFUSALS)} AS INTEGER) AS refuse FROM x),
+c AS (SELECT *, 0.6e0 * j + 0.2e0 * length_ok + 0.2e0 * refuse AS chat,
+ CASE WHEN len(p) = 0 OR len(o) = 0 THEN CAST(len(p) = 0 AND len(o) = 0 AS INTEGER) ELSE 2e0 * len(list_intersect(list_distinct(p), list_distinct(o))) / (len(p) + len(o)) END AS f1 FROM j)
+SELECT conv_id, turn, list_extract({WORKLOADS}, CAST(conv_id % 4 + 1 AS INTEGER)) AS workload, round(CASE conv_id % 4
+ WHEN 0 THEN CASE WHEN turn % 2 = 0 THEN greatest(CAST(array_to_string(p, ' ') = array_to_string(o, ' ') AS INTEGER), f1 * 0.9e0, chat * 0.95e0) ELSE chat END
+ WHEN 1 THEN 0.5e0 * CAST(contains(lower(a), 'the') AS INTEGER) + 0.35e0 * j + 0.15e0 * length_ok WHEN 2 THEN chat
+ ELSE CASE WHEN turn % 3 = 0 THEN CASE WHEN trim(a) = trim(b) THEN 1e0 ELSE 0.7e0 END ELSE j END END, 6) AS score FROM c""")
 def judge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.element_at(F.array(*map(F.lit, WORKLOADS)), (F.col("conv_id") % 4 + 1).cast("int"))
     gold = F.when(F.col("turn") % 2 == 0, F.left("b", F.lit(40)))

@@ -40,7 +40,10 @@ def l0_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.seen_within(timed(spark, sf_dir), F.lit(86_400_000_000)).select("request_id", "hit")
 
 
-@query()
+@query(f"""WITH RECURSIVE r AS (SELECT request_id, tenant_id, query_key, {EPOCH} AS stamp, row_number() OVER (PARTITION BY tenant_id, query_key ORDER BY {EPOCH}, request_id) AS n FROM {REQUESTS_SQL}),
+s AS (SELECT request_id, tenant_id, query_key, n, stamp + 86400000000 AS until, 0 AS hit FROM r WHERE n = 1
+UNION ALL SELECT r.request_id, r.tenant_id, r.query_key, r.n, CASE WHEN r.stamp < s.until THEN s.until ELSE r.stamp + 86400000000 END, CAST(r.stamp < s.until AS INTEGER) FROM s JOIN r ON r.tenant_id = s.tenant_id AND r.query_key = s.query_key AND r.n = s.n + 1)
+SELECT request_id, hit FROM s""")
 def l0_replay_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries that a hit does not renew."""
     return C.replay(timed(spark, sf_dir).withColumn("ttl", F.lit(86_400_000_000)))

@@ -33,7 +33,16 @@ def circuit_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.rolling_breaker(cells(spark, sf_dir)).select("request_id", "n", "total_bp", "low", "open")
 
 
-@query()
+#: A cell is disabled by the first open evaluation that follows another one within a day.
+STATES_SQL = f"""WITH r AS (SELECT request_id, strategy_id, request_class, ts, count(*) OVER w AS n, sum(parity_bp) OVER w AS t, sum(CAST(parity_bp < 8500 AS INTEGER)) OVER w AS l
+FROM {REQUESTS_SQL} WINDOW w AS (PARTITION BY strategy_id, request_class ORDER BY ts, request_id ROWS BETWEEN 199 PRECEDING AND CURRENT ROW)),
+o AS (SELECT *, n >= 10 AND (t < 9500 * n OR l * 50 > n) AS open FROM r),
+b AS (SELECT *, max(CASE WHEN open THEN epoch_us(ts) END) OVER (PARTITION BY strategy_id, request_class ORDER BY ts, request_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM o),
+d AS (SELECT *, max(CAST(coalesce(open AND epoch_us(ts) - last < 86400000000, false) AS INTEGER)) OVER (PARTITION BY strategy_id, request_class ORDER BY ts, request_id ROWS UNBOUNDED PRECEDING) AS off FROM b)
+SELECT request_id, CASE WHEN off = 1 THEN 'DISABLED' WHEN open THEN 'OPEN' ELSE 'CLOSED' END AS state FROM d"""
+
+
+@query(STATES_SQL)
 def circuit_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequential.circuit_states(cells(spark, sf_dir))
 

@@ -157,7 +157,13 @@ def position_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window.chunks(load(spark, sf_dir, "documents")).select("id", "chunk_idx", F.round(window.position_prior(F.col("chunk_idx"), F.col("n_chunks")), 6).alias("prior"))
 
 
-@query()
+@query(f"""WITH {BM25_CTE}, k AS (SELECT k.*, query FROM {CHUNKS_SQL} k JOIN {QUERIES_SQL} q ON k.id = q.id),
+t AS (SELECT id, chunk_idx, w, sum(x) AS x, sum(y) AS y FROM (SELECT id, chunk_idx, unnest(regexp_extract_all(lower(query), '[a-z]+')) AS w, 1 AS x, 0 AS y FROM k UNION ALL SELECT id, chunk_idx, unnest(regexp_extract_all(lower(chunk), '[a-z]+')), 0, 1 FROM k) GROUP BY ALL),
+z AS (SELECT id, chunk_idx, CASE WHEN sum(x) = 0 OR sum(y) = 0 THEN 0.0 ELSE sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y))) END AS cosine FROM t GROUP BY ALL),
+l AS (SELECT k.id, k.chunk_idx, k.n_chunks, coalesce(bm25, 0) AS lex, max(coalesce(bm25, 0)) OVER (PARTITION BY k.id) AS top FROM k LEFT JOIN b ON k.id = b.id AND k.chunk_idx = b.chunk_idx)
+SELECT l.id, l.chunk_idx, round(0.7e0 * coalesce(cosine, 0) + 0.2e0 * CASE WHEN top > 0 THEN lex / top ELSE 0 END
+ + 0.1e0 * CASE WHEN least(l.chunk_idx, n_chunks - 1 - l.chunk_idx) = 0 THEN 1e0 ELSE 1e0 - 0.7e0 * (least(l.chunk_idx, n_chunks - 1 - l.chunk_idx) - 1) / greatest((n_chunks - 1) / 2 - 1, 1.0) END, 6) AS score
+FROM l LEFT JOIN z ON l.id = z.id AND l.chunk_idx = z.chunk_idx""")
 def chunk_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window.chunk_scores(window.chunks(load(spark, sf_dir, "documents")), document_queries(spark, sf_dir)).select("id", "chunk_idx", F.round("score", 6).alias("score"))
 
@@ -178,14 +184,20 @@ def topmass_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window.top_mass(_length_scored(spark, sf_dir), 0.6).where("kept").select("id", "chunk_idx")
 
 
-@query()
+@query(rf"""WITH {MASS_CTE}, i AS (SELECT doc_id AS id, unnest(list_distinct(list_filter(string_split_regex(text, '[^\p{{L}}\p{{N}}\p{{M}}_]+'), lambda w: regexp_full_match(w, '[A-Z]{{2,}}')))) AS value FROM documents),
+f AS (SELECT i.id, value, min(CASE WHEN contains(chunk, value) THEN rank END) AS first FROM i JOIN r ON r.id = i.id GROUP BY ALL),
+c AS (SELECT id, max(coalesce(first, 1 << 30)) AS cover FROM f GROUP BY id)
+SELECT r.id, chunk_idx FROM r JOIN s ON r.id = s.id LEFT JOIN c ON r.id = c.id WHERE rank <= greatest(stop, coalesce(cover, 0))""")
 def cover_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mass and the cover of every document's acronyms, then neighbours."""
     items = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(M.found(F.col("text"), M.ACRONYM))).alias("value"))
     return window.top_mass(_length_scored(spark, sf_dir), 0.6, items).where("kept").select("id", "chunk_idx")
 
 
-@query()
+@query(f"""WITH {MASS_CTE}, k2 AS (SELECT r.id, chunk_idx, chunk, rank <= stop AS kept FROM r JOIN s USING (id)),
+n AS (SELECT *, coalesce(lag(kept) OVER w, false) OR coalesce(lead(kept) OVER w, false) AS beside FROM k2 WINDOW w AS (PARTITION BY id ORDER BY chunk_idx)),
+q AS (SELECT id, list_filter({sql_words('lower(query)')}, lambda w: length(w) >= 4) AS ws FROM {QUERIES_SQL})
+SELECT n.id, chunk_idx FROM n LEFT JOIN q ON n.id = q.id WHERE kept OR (beside AND len(list_filter(ws, lambda w: contains(lower(chunk), w))) > 0)""")
 def neighbor_force(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = document_queries(spark, sf_dir).select("id", F.col("query").alias("span"))
     return window.force_neighbours(window.top_mass(_length_scored(spark, sf_dir), 0.6), spans).where("kept").select("id", "chunk_idx")
@@ -267,11 +279,11 @@ def ledger_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", ledger.bucket(F.col("s")).alias("bucket"))
 
 
-@query("""SELECT conv_id AS request_id, '«Conversation ledger: decisions=[' || coalesce(string_agg(left(text, 20), '; ' ORDER BY turn) FILTER (WHERE turn % 3 = 0), 'none') || '], facts=[' || coalesce(string_agg(left(text, 20), '; ' ORDER BY turn) FILTER (WHERE turn % 3 = 1), 'none')
-|| '], open=[' || coalesce(string_agg(left(text, 20), '; ' ORDER BY turn) FILTER (WHERE turn % 3 = 2), 'none') || ']»' AS ledger FROM conversations GROUP BY conv_id""")
+@query("""SELECT conv_id AS request_id, '«Conversation ledger: decisions=[' || coalesce(string_agg(text, '; ' ORDER BY turn) FILTER (WHERE turn % 3 = 0), 'none') || '], facts=[' || coalesce(string_agg(text, '; ' ORDER BY turn) FILTER (WHERE turn % 3 = 1), 'none')
+|| '], open=[' || coalesce(string_agg(text, '; ' ORDER BY turn) FILTER (WHERE turn % 3 = 2), 'none') || ']»' AS ledger FROM conversations GROUP BY conv_id""")
 def ledger_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.element_at(F.array(F.lit("decision"), F.lit("fact"), F.lit("open")), (F.col("turn") % 3 + 1).cast("int"))
-    rows = conversations(spark, sf_dir).select(F.col("conv_id").alias("request_id"), F.col("turn").alias("seg_idx"), F.lit(0).alias("place"), F.left("text", F.lit(20)).alias("sentence"), kind.alias("bucket"))
+    rows = conversations(spark, sf_dir).select(F.col("conv_id").alias("request_id"), F.col("turn").alias("seg_idx"), F.lit(0).alias("place"), F.col("text").alias("sentence"), kind.alias("bucket"))
     return ledger.formatted(rows)
 
 
@@ -304,9 +316,9 @@ def json_minify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT conv_id, turn, array_to_string(list_transform(string_split(t, chr(10)), lambda x: CASE WHEN ltrim(x) LIKE '|%' THEN array_to_string(list_transform(string_split(x, '|'), lambda c: trim(c)), '|') ELSE x END), chr(10)) AS text
-FROM (SELECT conv_id, turn, ' |  ' || replace(left(text, 60), ',', '  |  ') || ' |' || chr(10) || '  no  table' AS t FROM conversations)""")
+FROM (SELECT conv_id, turn, ' |  ' || replace(text, ',', '  |  ') || ' |' || chr(10) || '  no  table' AS t FROM conversations)""")
 def table_depad(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = F.concat(F.lit(" |  "), F.replace(F.left("text", F.lit(60)), F.lit(","), F.lit("  |  ")), F.lit(" |\n  no  table"))
+    made = F.concat(F.lit(" |  "), F.replace("text", F.lit(","), F.lit("  |  ")), F.lit(" |\n  no  table"))
     return conversations(spark, sf_dir).select("conv_id", "turn", T.depad_tables(made).alias("text"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import REQUEST_LOG, REQUESTS_SQL, micros
 from ..streaming import windows as W
+from .control import STATES_SQL
 from .registry import query
 
 
@@ -19,7 +20,7 @@ def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.hour("w.start").alias("hour"), F.day("w.start").alias("day"), "n", "tokens_saved")
 
 
-@query()
+@query(f"SELECT request_id, concat_ws(':', strategy_id, request_class) AS cell, state FROM ({STATES_SQL}) JOIN (SELECT request_id, strategy_id, request_class FROM {REQUESTS_SQL}) USING (request_id)")
 def stream_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stream(spark, sf_dir).withColumn("cell", F.concat_ws(":", "strategy_id", "request_class")).withColumn("at", F.expr(micros()) / 1e6)
     return W.drain(W.breaker(rows))

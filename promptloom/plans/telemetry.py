@@ -68,7 +68,10 @@ def quota_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return request_log(spark, sf_dir).select("request_id", "tenant_id", F.expr("CAST(unix_date(CAST(ts AS DATE)) AS BIGINT)").alias("day"), F.expr(micros()).alias("at"), F.col("tokens_in").alias("tokens"))
 
 
-@query()
+@query(f"""WITH RECURSIVE r AS (SELECT request_id, tenant_id, CAST(ts AS DATE) AS day, tokens_in AS tokens, row_number() OVER (PARTITION BY tenant_id, CAST(ts AS DATE) ORDER BY epoch_us(ts), request_id) AS n FROM {REQUESTS_SQL}),
+s AS (SELECT request_id, tenant_id, day, n, CAST(tokens <= 20000 AS INTEGER) AS optimised, CAST(tokens <= 20000 AS INTEGER) AS requests, CASE WHEN tokens <= 20000 THEN tokens ELSE 0 END AS used FROM r WHERE n = 1
+UNION ALL SELECT r.request_id, r.tenant_id, r.day, r.n, CAST(s.requests < 12 AND s.used + r.tokens <= 20000 AS INTEGER), s.requests + CAST(s.requests < 12 AND s.used + r.tokens <= 20000 AS INTEGER), s.used + CASE WHEN s.requests < 12 AND s.used + r.tokens <= 20000 THEN r.tokens ELSE 0 END
+FROM s JOIN r ON r.tenant_id = s.tenant_id AND r.day = s.day AND r.n = s.n + 1) SELECT request_id, optimised FROM s""")
 def quota_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequential.quota_decisions(quota_log(spark, sf_dir), 12, 20_000)
 
