@@ -18,6 +18,8 @@ PERMUTATIONS, MODULUS = 128, (1 << 32)
 SHINGLE = 5
 #: Shingles that one step compares with all permutations.
 STEP = 4096
+#: Shingles whose hashes a worker remembers.
+GRAMS = 500_000
 
 
 # Seed, multiplier and increment of the generator of the hash family.
@@ -36,18 +38,31 @@ def permutations(n: int = PERMUTATIONS) -> tuple[np.ndarray, np.ndarray]:
 A, B = permutations()
 
 
+class Grams(dict):
+    """Memo from a shingle to its 32-bit hash; emptied when full, so its memory is bounded."""
+
+    def __missing__(self, gram: str) -> int:
+        if len(self) >= GRAMS:
+            self.clear()
+        value = self[gram] = int.from_bytes(hashlib.md5(gram.encode()).digest()[:4], "little")
+        return value
+
+
+GRAM_HASHES = Grams()
+
+
 def shingle_hashes(text: str | None) -> np.ndarray:
     """Distinct 32-bit hashes of the lower-case character 5-grams; a shorter text is one shingle."""
     low = (text or "").lower()
     grams = {low[i : i + SHINGLE] for i in range(len(low) - SHINGLE + 1)} or {low}
-    return np.array([int.from_bytes(hashlib.md5(g.encode()).digest()[:4], "little") for g in grams], dtype=np.uint64)
+    return np.fromiter(map(GRAM_HASHES.__getitem__, grams), dtype=np.uint64, count=len(grams))
 
 
 def signature(text: str | None) -> list[int]:
     """MinHash signature in bounded steps, so that a very long text needs no more memory."""
     hashes, best = shingle_hashes(text), np.full(PERMUTATIONS, MODULUS, dtype=np.uint64)
     for at in range(0, len(hashes), STEP):
-        part = (A[:, None] * hashes[None, at : at + STEP] + B[:, None]) % np.uint64(MODULUS)
+        part = (A[:, None] * hashes[None, at : at + STEP] + B[:, None]) & np.uint64(MODULUS - 1)
         best = np.minimum(best, part.min(axis=1))
     return best.astype(np.int64).tolist()
 
@@ -62,12 +77,15 @@ def shingle_count(text: pd.Series) -> pd.Series:
     return text.map(lambda t: len(shingle_hashes(t)))
 
 
+WORDS = re.compile(r"\w+")
+
+
 def density(text: str | None) -> float:
     """0.7 of the compression ratio (1 at most) and 0.3 of the share of different words; 1 if empty."""
     if not text:
         return 1.0
     raw = text.encode()
-    found = re.findall(r"\b\w+\b", text.lower())
+    found = WORDS.findall(text.lower())
     unique = len(set(found)) / len(found) if found else 1.0
     return 0.7 * min(len(zlib.compress(raw, 6)) / len(raw), 1.0) + 0.3 * unique
 
@@ -92,15 +110,27 @@ def json_minify(text: pd.Series) -> pd.Series:
     return text.map(minify)
 
 
-def bag_cosine(a: str | None, b: str | None) -> float:
-    """Cosine of the numbers of lower-case ASCII words: a bag of words that needs no vocabulary; 0 if either has none."""
-    x, y = (Counter(re.findall("[a-z]+", (t or "").lower())) for t in (a, b))
+#: ASCII words, and the white space that the JVM's Unicode patterns know.
+LETTERS, BLANKS = re.compile("[a-z]+"), re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+
+def split_words(text: str) -> list[str]:
+    """White-space separated words, as ``text.words`` gives them."""
+    return [w for w in BLANKS.split(text) if w]
+
+
+def counts_cosine(x: Counter, y: Counter) -> float:
     if not x or not y:
         return 0.0
     inner = sum(n * y[w] for w, n in x.items() if w in y)
     return inner / (sum(n * n for n in x.values()) ** 0.5 * sum(n * n for n in y.values()) ** 0.5)
 
 
+def bag_cosine(a: str | None, b: str | None) -> float:
+    """Cosine of the numbers of lower-case ASCII words: a bag of words that needs no vocabulary; 0 if either has none."""
+    return counts_cosine(*(Counter(LETTERS.findall((t or "").lower())) for t in (a, b)))
+
+
 @F.pandas_udf(DoubleType())
 def text_cosine(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([bag_cosine(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")

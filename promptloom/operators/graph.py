@@ -2,27 +2,38 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Checkpointed in the session's shared folder; a temporary one is made only where none is set."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``, which driver and executors share; only where it is unset and they are one process, a
+    temporary folder."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="components-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="shared-"))
+    return sc.getCheckpointDir()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Checkpointed in the session's shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def connected(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def connected(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b); the root is the smallest node of the component.
 
     Every node takes the smallest label of its neighbours, then its label's label; this halves distances, so long chains end soon.
     """
     both = saved(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
     labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("m"))
         moved = labels.join(near, "node").select("node", F.least("root", "m").alias("root"), F.col("root").alias("old"))
         jump = labels.select(F.col("node").alias("root"), F.col("root").alias("next"))
@@ -30,4 +41,3 @@ def connected(edges: DataFrame, rounds: int = 50) -> DataFrame:
         labels = moved.select("node", "root")
         if not moved.where("root <> old").limit(1).count():
             return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")

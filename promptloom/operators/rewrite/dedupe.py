@@ -23,7 +23,7 @@ def similar_pairs(segs: DataFrame, candidate: float = CANDIDATE, verified: float
     return both.withColumn("cosine", P.text_cosine("text_a", "text_b")).drop("text_a", "text_b").where(F.col("cosine") >= verified)
 
 
-def clusters(segs: DataFrame, pairs: DataFrame, rounds: int = 20) -> DataFrame:
+def clusters(segs: DataFrame, pairs: DataFrame) -> DataFrame:
     """(request_id, seg_idx, cluster): the smallest index that pairs connect a segment to.
 
     Labels go along the pairs and then jump to their label's label until nothing changes; each round is checkpointed.
@@ -32,7 +32,7 @@ def clusters(segs: DataFrame, pairs: DataFrame, rounds: int = 20) -> DataFrame:
 
     key = lambda c: F.concat_ws(":", "request_id", c)
     edges = pairs.select(key("a").alias("a"), key("b").alias("b"))
-    labels = connected(edges, rounds)
+    labels = connected(edges)
     rows = segs.select("request_id", "seg_idx", key("seg_idx").alias("node"))
     joined = rows.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = joined.groupBy("root").agg(F.min("seg_idx").alias("cluster"))

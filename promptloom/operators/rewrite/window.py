@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+from math import log
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from ...functions import arrow as P, text as T
 
@@ -23,25 +29,51 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: in
     return rows.select("id", "chunk_idx", "n_chunks", piece.alias("chunk"), T.token_estimate(piece).alias("tokens"))
 
 
-def bm25(parts: DataFrame, queries: DataFrame) -> DataFrame:
-    """(id, chunk_idx, bm25): parts (id, chunk_idx, chunk) scored for their id's query (id, query), repeated query terms counted each time.
+def lexical(parts: DataFrame, queries: DataFrame) -> DataFrame:
+    """(id, chunk_idx, bm25, cosine) of parts (id, chunk_idx, chunk) for their id's query (id, query), repeated query terms counted each time;
+    an id without a query has zeros.
 
-    A chunk meets its query first and only the numbers of the query's terms are shuffled, not the chunk's words.
+    Chunks go to their id once, sorted, and one pass makes all numbers; it holds the counts of one document's chunks.
     """
-    tokens = lambda c: T.words(F.lower(c))
-    sized = parts.select("id", "chunk_idx", tokens(F.col("chunk")).alias("ws")).withColumn("len", F.size("ws"))
-    corpus = sized.groupBy("id").agg(F.count("*").alias("n"), F.greatest(F.avg("len"), F.lit(1.0)).alias("avg_len"))
-    asked = queries.select("id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("times"))
-    asked = asked.groupBy("id").agg(F.collect_list(F.struct("term", "times")).alias("terms"))
-    number = lambda t: F.struct(t["term"].alias("term"), t["times"].alias("times"), F.size(F.filter("ws", lambda w: w == t["term"])).alias("tf"))
-    found = sized.join(asked, "id").select("id", "chunk_idx", "len", F.explode(F.filter(F.transform("terms", number), lambda x: x["tf"] > 0)).alias("x"))
-    tf = found.select("id", "chunk_idx", "len", "x.*")
-    df = tf.groupBy("id", "term").agg(F.count("*").alias("df"))
-    scored = tf.join(df, ["id", "term"]).join(corpus, "id")
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    found = scored.groupBy("id", "chunk_idx").agg(F.sum(part).alias("bm25"))
-    return parts.select("id", "chunk_idx").join(found, ["id", "chunk_idx"], "left").select("id", "chunk_idx", F.coalesce("bm25", F.lit(0.0)).alias("bm25"))
+    n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = parts.select("id", "chunk_idx", "chunk").repartition(n, "id").join(queries.select("id", "query").repartition(n, "id"), "id", "left")
+    kind = parts.schema["id"]
+
+    def scored(held: list[tuple], terms: Counter) -> Iterator[float]:
+        mean = max(1.0, sum(size for _, size, _, _ in held) / len(held))
+        df = Counter(t for _, _, tf, _ in held for t in tf)
+        weight = {t: terms[t] * log((len(held) - df[t] + 0.5) / (df[t] + 0.5) + 1) * (K1 + 1) for t in df}
+        for _, size, tf, _ in held:
+            yield sum((weight[t] * n / (n + K1 * (1 - B + B * size / mean)) for t, n in tf.items()), 0.0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, terms, bag = None, [], Counter(), Counter()
+
+        def done(id_type: pa.DataType) -> pa.RecordBatch:
+            columns = [pa.array([key] * len(held), id_type), pa.array([h[0] for h in held], pa.int32()), pa.array(list(scored(held, terms)), pa.float64()), pa.array([h[3] for h in held], pa.float64())]
+            return pa.RecordBatch.from_arrays(columns, names=["id", "chunk_idx", "bm25", "cosine"])
+
+        for batch in batches:
+            id_type = batch.column(0).type
+            for own, idx, chunk, query in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != key or not held:
+                    if held:
+                        yield done(id_type)
+                    low = (query or "").lower()
+                    key, held, terms, bag = own, [], Counter(P.split_words(low)), Counter(P.LETTERS.findall(low))
+                low = (chunk or "").lower()
+                words = P.split_words(low)
+                held.append((idx, len(words), Counter(filter(terms.__contains__, words)), P.counts_cosine(bag, Counter(P.LETTERS.findall(low)))))
+        if held:
+            yield done(id_type)
+
+    out = StructType([StructField("id", kind.dataType), StructField("chunk_idx", IntegerType()), StructField("bm25", DoubleType()), StructField("cosine", DoubleType())])
+    return rows.sortWithinPartitions("id", "chunk_idx").mapInArrow(run, out)
+
+
+def bm25(parts: DataFrame, queries: DataFrame) -> DataFrame:
+    """(id, chunk_idx, bm25), see ``lexical``."""
+    return lexical(parts, queries).select("id", "chunk_idx", "bm25")
 
 
 def position_prior(idx: Column, n: Column) -> Column:
@@ -53,11 +85,11 @@ def position_prior(idx: Column, n: Column) -> Column:
 
 def chunk_scores(parts: DataFrame, queries: DataFrame) -> DataFrame:
     """(id, chunk_idx, tokens, score) of weighted cosine, BM25 (against the id's best) and place."""
-    lexical = bm25(parts, queries)
     best = Window.partitionBy("id")
-    lexical = lexical.withColumn("top", F.max("bm25").over(best)).select("id", "chunk_idx", F.when(F.col("top") > 0, F.col("bm25") / F.col("top")).otherwise(F.lit(0.0)).alias("lexical"))
-    rows = parts.join(queries, "id").join(lexical, ["id", "chunk_idx"])
-    score = WEIGHT_COSINE * P.text_cosine("query", "chunk") + WEIGHT_BM25 * F.col("lexical") + WEIGHT_PLACE * position_prior(F.col("chunk_idx"), F.col("n_chunks"))
+    found = lexical(parts, queries).withColumn("top", F.max("bm25").over(best))
+    rows = parts.join(found, ["id", "chunk_idx"]).join(queries.select("id"), "id", "left_semi")
+    share = F.when(F.col("top") > 0, F.col("bm25") / F.col("top")).otherwise(F.lit(0.0))
+    score = WEIGHT_COSINE * F.col("cosine") + WEIGHT_BM25 * share + WEIGHT_PLACE * position_prior(F.col("chunk_idx"), F.col("n_chunks"))
     return rows.select("id", "chunk_idx", "n_chunks", "tokens", "chunk", score.alias("score"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import arrow as P, text as T
+from .graph import saved
 
 #: Tool results this many messages before the last are stale.
 STALE_AFTER = 6
@@ -53,20 +54,22 @@ def band_rows(signatures: DataFrame, rows: int, keys: list[str]) -> DataFrame:
     return signatures.select(*keys, "id", F.explode(pieces).alias("p")).select(*keys, "id", "p.band", "p.value")
 
 
-def near_texts(distinct: DataFrame, threshold: float, keys: tuple[str, ...] = ("request_id", "segment_type")) -> DataFrame:
-    """(keys, a, b, jaccard): ids a < b of different texts of a group whose estimate is at least ``threshold``; no pair is missed.
+def near_texts(distinct: DataFrame, threshold: float, keys: tuple[str, ...] = ("request_id", "segment_type"), others: DataFrame | None = None) -> DataFrame:
+    """(keys, a, b, jaccard): ids of different texts of a group whose estimate is at least ``threshold``; no pair is missed. Without
+    ``others`` a < b; with them a is of ``distinct`` and b of ``others``, and no pair within a side is made.
 
     An estimate of t leaves (1 - t) * 128 unequal places, which can't touch all bands if there are more bands than that, so equal bands
-    find every pair without comparing all.
+    find every pair without comparing all. Signatures are made once.
     """
     unequal = int((1 - threshold) * P.PERMUTATIONS + 1e-9)
     rows = max(r for r in range(1, 9) if P.PERMUTATIONS // r > unequal)
-    signed = distinct.select(*keys, "id", P.minhash("text").alias("sig"))
-    bands = band_rows(signed, rows, list(keys))
-    join = [*keys, "band", "value"]
-    pairs = bands.withColumnRenamed("id", "a").join(bands.withColumnRenamed("id", "b"), join).where("a < b").select(*keys, "a", "b").distinct()
-    sides = lambda n: signed.select(*keys, F.col("id").alias(n), F.col("sig").alias(f"sig_{n}"))
-    scored = pairs.join(sides("a"), [*keys, "a"]).join(sides("b"), [*keys, "b"])
+    sign = lambda df: saved(df.select(*keys, "id", P.minhash("text").alias("sig")))
+    left = sign(distinct)
+    right = left if others is None else sign(others)
+    bands = lambda df, n: band_rows(df, rows, list(keys)).withColumnRenamed("id", n)
+    pairs = bands(left, "a").join(bands(right, "b"), [*keys, "band", "value"]).where("a < b" if others is None else "a <> b").select(*keys, "a", "b").distinct()
+    sides = lambda df, n: df.select(*keys, F.col("id").alias(n), F.col("sig").alias(f"sig_{n}"))
+    scored = pairs.join(sides(left, "a"), [*keys, "a"]).join(sides(right, "b"), [*keys, "b"])
     return scored.select(*keys, "a", "b", P.jaccard_estimate(F.col("sig_a"), F.col("sig_b")).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
@@ -84,11 +87,11 @@ def near_pairs(segs: DataFrame, threshold: float, keys: tuple[str, ...] = ("requ
 
 def near_after(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """(request_id, seg_idx, last): segments of ``left`` with the largest seg_idx of each text of ``right`` in the request that is equal or near."""
-    both = left.select("request_id", "text").unionByName(right.select("request_id", "text")).where("text IS NOT NULL").distinct()
-    named = both.withColumn("id", F.xxhash64("text"))
-    near = near_texts(named, threshold, ("request_id",))
-    same = named.select("request_id", F.col("id").alias("a"), F.col("id").alias("b"))
-    ends = near.select("request_id", "a", "b").unionByName(near.select("request_id", F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(same)
+    named = lambda df: df.select("request_id", "text").where("text IS NOT NULL").distinct().withColumn("id", F.xxhash64("text"))
+    asked, there = named(left), named(right)
+    near = near_texts(asked, threshold, ("request_id",), there)
+    same = asked.join(there, ["request_id", "id"], "left_semi").select("request_id", F.col("id").alias("a"), F.col("id").alias("b"))
+    ends = near.select("request_id", "a", "b").unionByName(same)
     last = right.groupBy("request_id", F.xxhash64("text").alias("b")).agg(F.max("seg_idx").alias("last"))
     return left.select("request_id", "seg_idx", F.xxhash64("text").alias("a")).join(ends, ["request_id", "a"]).join(last, ["request_id", "b"]).select("request_id", "seg_idx", "last")
 

@@ -5,7 +5,6 @@ Each takes a streaming (or batch) DataFrame and returns one; ``drain`` runs a st
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,19 +12,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.graph import shared_folder
 from ..operators.sequential import Breaker
 
 STATE = "samples array<long>, violations int, last double, state string"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-"))
-    return sc.getCheckpointDir()
-
-
 def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
     """The event table's files as they appear. A pattern for the path lets the table be one file as well as a folder of files."""
     schema = spark.read.parquet(path).schema
@@ -67,14 +59,15 @@ def breaker(log: DataFrame) -> DataFrame:
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs the stream over all that its source has, into a table in the shared folder, and reads that.
 
-    In complete mode each trigger's result takes the place of the one before.
+    A trigger writes a folder of its own number, so that one that runs again after a failure takes its own place; in complete mode each
+    trigger's result takes the place of the one before.
     """
     spark = stream.sparkSession
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{folder}/out")
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/trigger={0 if mode == 'complete' else number}")
 
-    spark.createDataFrame([], stream.schema).write.mode("append").parquet(f"{folder}/out")
+    spark.createDataFrame([], stream.schema).write.parquet(f"{folder}/out/trigger=-1")
     stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out").select(*stream.columns)

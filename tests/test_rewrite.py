@@ -177,7 +177,7 @@ def test_optimiser_never_grows_a_request(spark):
 
     c = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").where("conv_id < 6")
     segs = S.segments(c)
-    outcome, left = optimizer.optimise(segs, S.final_user_query(c), segs.select("request_id").distinct(), 200, keep=1, min_doc=50, lossy_budget=50)
+    outcome, left = optimizer.optimise(segs, S.final_user_query(c), segs.select("request_id").distinct(), doc_budget=200, keep=1, min_doc=50, lossy_budget=50)
     rows = outcome.collect()
     assert len(rows) == 6 and all(r.tokens_after <= r.tokens_before for r in rows)
     assert {r.request_id for r in left.select("request_id").distinct().collect()} == {r.request_id for r in rows}
@@ -192,3 +192,98 @@ def test_repeated_assistant_turns_still_expire_results_and_sentences(spark):
     left = segs.where("seg_idx = 5")
     assert {(r.seg_idx, r.last) for r in G.near_after(left, segs.where("role = 'assistant'"), 0.5).collect()} == {(5, 9)}
     assert {(r.seg_idx, r.last) for r in G.near_after(segs.where("seg_idx = 1"), segs.where("role = 'assistant'"), 0.99).collect()} == {(1, 9)}
+
+
+def request(spark, rows):
+    """Segments (role, segment_type, text) of request 1."""
+    from promptloom.operators import optimizer
+
+    df = spark.createDataFrame([(1, i, r, k, t) for i, (r, k, t) in enumerate(rows)], "request_id long, seg_idx long, role string, segment_type string, text string")
+    return optimizer.with_hashes(df)
+
+
+def texts(df):
+    return [r.text for r in df.orderBy("seg_idx").collect()]
+
+
+NEAR = "the quarterly report for the north region lists forty two open orders and nine late ones, all of them from the big warehouse by the river"
+
+
+def test_near_copy_with_a_constraint_of_its_own_stays(spark):
+    from promptloom.operators import manifest, optimizer
+
+    segs = request(spark, [("user", "USER_QUERY", NEAR + " today."), ("user", "USER_QUERY", NEAR + " today"), ("user", "USER_QUERY", NEAR + " 77%.")])
+    items = manifest.extract(segs)
+    got = texts(optimizer.pass_s1(segs, items))
+    assert got[1].startswith("[dup of seg_") and got[0].endswith("today.") and got[2].endswith("77%.")
+    bare = optimizer.pass_s1(segs, items.limit(0))
+    assert texts(bare)[2].startswith("[dup of seg_")
+
+
+def test_cached_prefix_is_only_changed_where_it_pays(spark):
+    from promptloom.operators import optimizer
+
+    segs = request(spark, [("system", "SYSTEM_INSTRUCTION", "a   " * 50), ("user", "USER_QUERY", "b   " * 50)])
+    after = optimizer.pass_s6(segs)
+    guard = lambda value: texts(optimizer.prefix_guard(segs, after, spark.createDataFrame([(1, 100, 1, value)], "request_id long, prefix_bytes int, price int, cache_value int")))
+    assert guard(10_000) == ["a   " * 50, ("b " * 50).strip()] and guard(1) == texts(after) == [("a " * 50).strip(), ("b " * 50).strip()]
+    gone = optimizer.prefix_guard(segs, after.where("seg_idx = 1"), spark.createDataFrame([(1, 100, 1, 10_000)], "request_id long, prefix_bytes int, price int, cache_value int"))
+    assert texts(gone)[0] == "a   " * 50
+
+
+def test_hygiene_does_all_its_parts(spark):
+    from promptloom.operators import optimizer
+
+    rows = [("system", "TOOL_SCHEMA", "Finds a thing. Long story follows here."), ("user", "STRUCTURED_DATA", '{"a": 1,  "b": [1, 2]}'), ("user", "USER_QUERY", "| a  |  b |\n|  c | d   |"), ("user", "CODE_BLOCK", "x  =  1"), ("tool", "TOOL_RESULT", NEAR)]
+    rows += [("assistant", "ASSISTANT_TURN", NEAR + " now"), *[("assistant", "ASSISTANT_TURN", f"turn {k}") for k in range(4)], ("tool", "TOOL_RESULT", "last one")]
+    got = texts(optimizer.pass_s6(request(spark, rows)))
+    assert got[0] == "Finds a thing." and got[1] == '{"a":1,"b":[1,2]}' and got[2] == "|a|b|\n|c|d|" and got[3] == "x  =  1"
+    assert got[4] == "[tool_result:tool:expired]" and got[10] == "last one"
+
+
+def test_window_keeps_entities_and_what_governs_them(spark):
+    from promptloom.operators import manifest, optimizer
+
+    filler = "plain words about nothing in the middle of the text that go on and on. "
+    document = filler * 40 + "other things stand here by themselves. " * 50 + "The code name is ZEBRA here. " + "still other things. " * 20
+    segs = request(spark, [("user", "RETRIEVED_DOC", document), ("user", "USER_QUERY", "what is the code name")])
+    queries = spark.createDataFrame([(1, "what is the code name")], "request_id long, query string")
+    items = manifest.extract(segs).where("item_type = 'entity'")
+    cut = texts(optimizer.pass_s3(segs, queries, items, 300, 0.2))[0]
+    assert len(cut) < len(document) and "ZEBRA" in cut
+    assert texts(optimizer.pass_s3(segs, queries, items, 5000, 0.2))[0] == document
+
+
+def test_ledger_needs_depth_and_tokens(spark):
+    from promptloom.operators import optimizer
+
+    rows = [("user" if k % 2 == 0 else "assistant", "USER_QUERY" if k % 2 == 0 else "ASSISTANT_TURN", f"You must keep rule {k} in mind for all of it.") for k in range(12)]
+    segs = request(spark, rows)
+    assert len(texts(optimizer.pass_s5(segs, 2, 3, 10, None))) < 12
+    assert texts(optimizer.pass_s5(segs, 2, 9, 10, None)) == texts(segs) == texts(optimizer.pass_s5(segs, 2, 3, 10_000, None))
+    rich = [(r, k, t if i != 1 else " ".join(f"w{q}" for q in range(60))) for i, (r, k, t) in enumerate([(r, k, "same " * 60 + t) for r, k, t in rows])]
+    kept = texts(optimizer.pass_s5(request(spark, rich), 2, 3, 10, spark.createDataFrame([(1,)], "request_id long")))
+    assert any(t.startswith("w0 w1") for t in kept)
+
+
+def test_lossy_pass_has_its_gates(spark):
+    from promptloom.operators import manifest, optimizer
+
+    repeat = "the same few words again and again and again so that it has little in it " * 30 + "rare unusual tokens"
+    segs = request(spark, [("user", "USER_QUERY", repeat)])
+    items, yes, no = manifest.extract(segs).limit(0), spark.createDataFrame([(1,)], "request_id long"), spark.createDataFrame([], "request_id long")
+    assert texts(optimizer.pass_s7(segs, items, yes, 100)) != [repeat]
+    assert texts(optimizer.pass_s7(segs, items, no, 100)) == [repeat] == texts(optimizer.pass_s7(segs, items, yes, 100_000))
+    dense = " ".join(f"{k * 7919 % 99991:x}{chr(97 + k * 13 % 26)}" for k in range(400))
+    assert texts(optimizer.pass_s7(request(spark, [("user", "USER_QUERY", dense)]), items, yes, 100)) == [dense]
+
+
+def test_routes_keep_passes_off(spark):
+    from promptloom.operators import optimizer
+
+    segs = request(spark, [("system", "SYSTEM_INSTRUCTION", "Please make sure that you answer.   Thanks   a   lot"), ("user", "USER_QUERY", "b   " * 50)]).select(*optimizer.COLUMNS)
+    queries, none = spark.createDataFrame([(1, "b")], "request_id long, query string"), spark.createDataFrame([], "request_id long")
+    off = spark.createDataFrame([(1, f"S{k}", "DISABLED") for k in range(1, 8)], "request_id long, strategy string, status string")
+    free = optimizer.optimise(segs, queries, none)[0].first()
+    barred = optimizer.optimise(segs, queries, none, off)[0].first()
+    assert free.tokens_after < free.tokens_before == barred.tokens_after
