@@ -26,6 +26,10 @@ DEFAULT_LIFE_TIME = 86400
 PRICES = [("groq", 0.59, 0.79, 0.0), ("mistral", 0.20, 0.60, 0.0), ("cohere", 0.15, 0.60, 0.0), ("mock", 0.59, 0.79, 0.0), ("anthropic", 3.0, 15.0, 0.90), ("openai", 2.5, 10.0, 0.50)]
 
 
+# What the nine providers' own prompt cache keeps, and the tokens of their context.
+CAPABILITIES = [("openai", "prefix", 128_000), ("anthropic", "prefix", 200_000), ("cohere", "none", 128_000), ("deepseek", "none", 128_000), ("gemini", "none", 1_048_576), ("groq", "none", 131_072), ("mistral", "none", 32_768), ("ollama", "none", 32_768), ("openrouter", "none", 200_000)]
+
+
 def routing_rows() -> list[tuple]:
     """(request_class, strategy, status, floor, l1_allowed, l1_tau), one row a class and strategy."""
     return [(c, s, status, RESTRICTED_FLOOR if status == R else None, int(l1), tau) for c in CLASSES for (statuses, l1, tau) in [ROUTING[c]] for s, status in zip(STRATEGIES, statuses, strict=True)]
@@ -44,3 +48,7 @@ def life_times(spark: SparkSession) -> DataFrame:
 
 def prices(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PRICES, "provider string, input_price double, output_price double, cache_discount double")
+
+
+def capabilities(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(CAPABILITIES, "provider string, native_prompt_cache string, max_context long")

@@ -127,3 +127,53 @@ def test_streamed_breaker_equals_the_fold(spark, split_log):
 def test_first_seen(spark, split_log):
     got = W.drain(W.first_seen(log_of(W.event_stream(spark, split_log)).select("request_id", "tenant_id", "ts"), ["tenant_id"], "400 days"))
     assert got.count() == log_of(spark.read.parquet(split_log)).select("tenant_id").distinct().count()
+
+
+BODY = {
+    "model": "m", "temperature": 0.5, "stop": ["a", "b"], "seed": "5", "unknown": 1, "tools": [{"type": "function", "function": {"name": "f", "description": "d", "parameters": {"type": "object", "properties": {"x": {"type": "string"}}}}}],
+    "messages": [{"role": "system", "content": "sys"}, {"role": "user", "content": [{"type": "text", "text": "look"}, {"type": "image_url", "image_url": {"url": "u"}}, {"type": "text", "text": "here"}]}, {"role": "assistant", "content": "[1, 2]"}],
+}
+
+
+def one(spark, body):
+    return spark.createDataFrame([(1, json.dumps(body))], "request_id long, body string")
+
+
+def test_contents_may_be_lists(spark):
+    rows = {r.idx: (r.role, r.text) for r in D.chat_source(one(spark, BODY)).collect()}
+    assert rows == {-1: ("system", "sys"), 0: ("user", "look\n[image]\nhere"), 1: ("assistant", "[1, 2]")}
+    block = {"system": [{"type": "text", "text": "s1"}, {"type": "text", "text": "s2"}], "messages": [{"role": "user", "content": "plain"}, {"role": "user", "content": [{"type": "tool_use", "name": "f", "input": {"x": 1}}, {"type": "tool_result", "content": "done"}]}]}
+    rows = {r.idx: (r.role, r.text) for r in D.block_source(one(spark, block)).collect()}
+    assert rows == {-1: ("system", "s1\ns2"), 0: ("user", "plain"), 1: ("user", 'tool_use: f {"x":1}\ndone')}
+
+
+def test_tools_and_parameters_both_ways(spark):
+    bodies = one(spark, BODY)
+    tool = D.tools(bodies).first().tools[0]
+    assert (tool.name, tool.description, json.loads(tool.parameters)) == ("f", "d", BODY["tools"][0]["function"]["parameters"])
+    bare = one(spark, {"model": "m", "messages": []})
+    chat = json.loads(D.with_extras(bare, "chat", D.passed(bodies, "chat"), D.tools(bodies)).first().body)
+    assert chat == {"model": "m", "messages": [], "temperature": 0.5, "stop": ["a", "b"], "seed": "5", "tools": BODY["tools"]}
+    block = json.loads(D.with_extras(bare, "block", D.passed(bodies, "chat"), D.tools(bodies)).first().body)
+    assert block["tools"] == [{"name": "f", "description": "d", "input_schema": BODY["tools"][0]["function"]["parameters"]}] and block["temperature"] == 0.5 and "seed" not in block
+    again = D.tools(D.with_extras(bare, "block", None, D.tools(bodies))).first().tools[0]
+    assert json.loads(again.parameters) == BODY["tools"][0]["function"]["parameters"]
+
+
+def test_bodies_are_rebuilt_with_the_new_text(spark):
+    texts = spark.createDataFrame([(1, 'new "text"\nof it')], "request_id long, full_text string")
+    got = json.loads(D.rebuild(one(spark, BODY), texts).first().body)
+    assert got == {**BODY, "messages": [*BODY["messages"][:-1], {"role": "assistant", "content": 'new "text"\nof it'}]}
+    assert json.loads(D.rebuild(one(spark, {"messages": []}), texts).first().body) == {"messages": []}
+
+
+def test_proxy_paths_choose_the_dialect(spark):
+    rows = [(1, "/v1/chat/completions", json.dumps(BODY)), (2, "/v1/messages", json.dumps({"system": "s", "messages": [{"role": "user", "content": "q"}]})), (3, "/v1/chat", json.dumps({"message": "m", "chat_history": []})), (4, "/other", "{}")]
+    got = {(r.request_id, r.idx): r.text for r in D.proxy_source(spark.createDataFrame(rows, "request_id long, path string, body string")).collect()}
+    assert got[1, -1] == "sys" and got[2, -1] == "s" and got[2, 0] == "q" and got[3, 0] == "m" and not any(k == 4 for k, _ in got)
+
+
+def test_responses_of_several_blocks(spark):
+    body = {"content": [{"type": "text", "text": "a"}, {"type": "tool_use", "name": "f"}, {"type": "text", "text": "b"}], "usage": {"input_tokens": 3, "output_tokens": 4}, "stop_reason": "end"}
+    r = D.responses(one(spark, body), "block").first()
+    assert (r.text, r.tokens_in, r.tokens_out, r.finish_reason) == ("ab", 3, 4, "end")
