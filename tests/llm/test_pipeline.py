@@ -66,6 +66,39 @@ def test_columns_and_run(spark, stages):
     assert ids(corpus_pipeline.run(spark, SF).collect()) == ids(stages["mixing"][1])
 
 
+def awkward(spark):
+    """Documents with nulls, repeated rows, an empty and a very long text, and columns that clash with internal ones."""
+    from pyspark.sql import functions as F
+
+    from .cases import frame
+
+    return frame(spark).withColumn("lang", F.lit(None).cast("string")).withColumn("n_chars", F.length("text").cast("long")).withColumn("source", F.when(F.col("doc_id") > 4, F.lit("a")))
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_awkward_tables(spark, name):
+    from .cases import documents
+
+    stage, docs = dict(corpus_pipeline.STAGES)[name], awkward(spark)
+    none = stage(spark, docs.limit(0), SF)
+    got = stage(spark, docs, SF)
+    assert none.count() == 0
+    rows = got.collect()
+    if name == "mixing":
+        assert len(rows) == len(documents()) and len({r.mix_position for r in rows}) == len(rows)
+        return
+    assert got.columns == docs.columns and none.columns == docs.columns
+    if name == "near_dedup":
+        kept = [r.doc_id for r in rows]
+        assert None not in kept and len(kept) == len(set(kept)) and {1, 3, 6, 10, 11, 12} <= set(kept) and not {2, 4, 5} & set(kept)
+    if name == "decontamination":
+        assert len(rows) == len(documents())
+    if name == "personal_data":
+        assert sorted(map(str, (r.text for r in rows))) == sorted(map(str, (t for _, t in documents())))
+    if name == "quality":
+        assert sorted(map(str, rows)) == sorted(map(str, stage(spark, docs.repartition(7), SF).collect()))
+
+
 def test_queries_run_on_the_smallest_tables(spark):
     for name, query in queries.QUERIES.items():
         assert query(spark, SF).count() >= 0, name
