@@ -69,6 +69,19 @@ def test_sets_that_are_just_alike_are_near():
         assert near >= 198, size
 
 
+def test_tiles_find_every_pair():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 63, (300, 4), dtype=np.int64).astype(np.uint64)
+    flips = np.where(rng.random((4600, 4, 64)) < 0.2, np.uint64(1) << np.arange(64, dtype=np.uint64), np.uint64(0)).sum(axis=2, dtype=np.uint64)
+    y = np.concatenate([base, base[rng.integers(0, 300, 4600)] ^ flips])
+    y = y[np.argsort(np.bitwise_count(y).sum(axis=1, dtype=np.int64), kind="stable")]
+    x = y[::17]
+    got = {(i, j) for a, b in nearcopies.near(x, y, False) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+    whole = np.bitwise_count(x[:, None] ^ y[None])
+    want = (whole.sum(axis=2, dtype=np.int64) <= nearcopies.RADIUS) & (whole[:, :, 0] <= nearcopies.FIRST)
+    assert got == set(zip(*(v.tolist() for v in np.nonzero(want)), strict=True)) and len(got) > 500
+
+
 def test_rows_that_repeat_leave_one(spark):
     rows = [(1, "a text of some words that is there again", k % 3) for k in range(9)] + [(None, "no id " * 9, k) for k in range(4)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n int")
