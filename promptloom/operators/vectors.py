@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Queries of one pass, so that what is broadcast has a fixed size.
 BLOCK = 4096
@@ -19,31 +19,38 @@ def unit(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.where(size > 0, size, 1)
 
 
+def usable(vector: Column) -> Column:
+    """Whether a vector and all of its components are there and finite."""
+    return vector.isNotNull() & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == F.lit(float("inf"))))
+
+
 def neighbours(data: DataFrame, queries: DataFrame, k: int | None = None, least: float | None = None, block: int = BLOCK) -> DataFrame:
     """(query_id, vec_id, cosine) of rows (vec_id, namespace, embedding): the ``k`` best a query (ties to the smaller vec_id) or all of at least
-    ``least``, without the query itself. A task keeps k rows a query; only these are shuffled."""
+    ``least``, without the query itself. A task keeps k rows a query; only these are shuffled. Vectors that are null, or hold a null or non-finite component,
+    take no part; vectors of unequal length never meet."""
     session = data.sparkSession
-    data = data.select("vec_id", F.col("namespace").cast("string").alias("namespace"), "embedding").where("embedding IS NOT NULL")
-    asked = queries.select("vec_id", F.col("namespace").cast("string").alias("namespace"), "embedding").where("embedding IS NOT NULL")
+    data = data.select("vec_id", F.col("namespace").cast("string").alias("namespace"), "embedding").where(usable(F.col("embedding")))
+    asked = queries.select("vec_id", F.col("namespace").cast("string").alias("namespace"), "embedding").where(usable(F.col("embedding")))
 
     def scan(rows: list) -> DataFrame:
         held = session.sparkContext.broadcast(rows)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            by_space: dict[str, list] = {}
+            by_space: dict[tuple, list] = {}
             for vec_id, space, vector in held.value:
-                by_space.setdefault(space, []).append((vec_id, vector))
+                by_space.setdefault((space, len(vector)), []).append((vec_id, vector))
             sides = {s: (np.array([i for i, _ in v]), unit(np.array([x for _, x in v], dtype=np.float64))) for s, v in by_space.items()}
             best = {s: [(np.zeros(0), np.zeros(0, dtype=np.int64))] * len(ids) for s, (ids, _) in sides.items()}
             for batch in batches:
-                spaces = np.array(batch.column(1).to_pylist(), dtype=object)
-                names = batch.column(0).to_numpy()
-                vectors = np.array(batch.column(2).to_pylist(), dtype=np.float64)
+                names, vectors = batch.column(0).to_numpy(), batch.column(2).to_pylist()
+                places: dict[tuple, list[int]] = {}
+                for place, (space, vector) in enumerate(zip(batch.column(1).to_pylist(), vectors, strict=True)):
+                    places.setdefault((space, len(vector)), []).append(place)
                 for s, (ids, matrix) in sides.items():
-                    rows_ = np.flatnonzero(spaces == s)
+                    rows_ = np.array(places.get(s, []), dtype=np.int64)
                     if not len(rows_):
                         continue
-                    scores = matrix @ unit(vectors[rows_]).T
+                    scores = matrix @ unit(np.array([vectors[p] for p in rows_], dtype=np.float64)).T
                     for q in range(len(ids)):
                         keep = names[rows_] != ids[q]
                         if least is not None:

@@ -104,3 +104,10 @@ def test_content_segments(spark):
     df = spark.createDataFrame([row], f"request_id long, system array<{block}>, messages array<struct<role:string,content:array<{block}>>>, tools array<struct<name:string,description:string,parameters:string>>")
     got = [r.segment_type for r in S.content_segments(df).orderBy("part", "m", "i").collect()]
     assert got == ["SYSTEM_INSTRUCTION", "USER_QUERY", "UNKNOWN", "TOOL_SCHEMA", "TOOL_RESULT", "TOOL_SCHEMA"]
+
+
+def test_vectors_that_cannot_be_compared_take_no_part(spark):
+    rows = [(0, "a", [1.0, 0.0]), (1, "a", [1.0, 1.0]), (2, "a", [1.0, 1.0, 1.0]), (3, "a", [None, 1.0]), (4, "a", [float("nan"), 1.0]), (5, "a", None), (6, "b", [1.0, 0.0]), (50, "a", [1.0, 2.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, namespace string, embedding array<double>")
+    got = {(r.query_id, r.vec_id) for r in V.neighbours(df, df.where("vec_id % 50 = 0 OR vec_id = 3"), k=4).collect()}
+    assert got == {(0, 1), (50, 2)}
