@@ -6,8 +6,8 @@ construction, reads overlapping windows of WINDOW characters, decodes each by Vi
 spans are reconciled over the whole text: base spans stay, spans that a window cuts are read across windows laid together, and of
 overlapping ones the surest wins. A tagged span must also hold its kind's shape, and is cut to it (``SHAPES``, ``plausible``).
 
-Every window of every text is considered; as every kind needs a digit, an at sign or both words "at ... dot", a window without
-these has no span by constraint and is not run through the network.
+Every window of every text is run through the network, whatever it holds: an address like "name (at) host.org" has no digit, no at
+sign and no word "dot". The weights are laid out for that (``prepared``), and only the paths that leave the outside tag are followed back.
 
 Cases: null and empty texts have no spans; a null doc_id, repeated rows and extra columns pass through; offsets count code
 points, the end is exclusive; very long texts are read in windows; an empty table gives an empty result.
@@ -41,6 +41,8 @@ TRIGGER = re.compile(r"[0-9@]+")
 #: The words "at" and "dot" with a name between them, which is 253 characters long at most.
 SPELLED = re.compile(r"\bat\b[\s\])}>]{0,4}[\w.-]{1,253}[\s\[({<]{1,4}dot\b", re.I)
 WINDOW, STRIDE = 96, 48
+#: Windows that go through the network at once (their states stay in a core's cache), windows that are cut from texts at once.
+LANES, PART = 256, 4096
 CHARS, EMBED, HIDDEN, TAGS = 130, 14, 24, 1 + 2 * len(KINDS)
 #: Shapes of what the tagger may add. An at sign or a dot may be spelled, in brackets or apart.
 AT_SIGN, DOT_SIGN = r"(?:@|\s@\s|\s?[\[({<]\s?(?:at|@)\s?[\])}>]\s?|\sat\s)", r"(?:\.|\s\.\s|\s?[\[({<]\s?(?:dot|\.)\s?[\])}>]\s?|\sdot\s)"
@@ -234,27 +236,59 @@ def crf_grads(emit: np.ndarray, tags: np.ndarray, trans: np.ndarray) -> tuple[np
     return d_emit, d_trans
 
 
-def emissions(model: dict, window: np.ndarray) -> np.ndarray:
-    """(steps, windows, TAGS) of character classes (windows, steps)."""
-    x = model["embed"][window.T]
-    left, _ = run_lstm(x, *model["left"], reverse=False)
-    right, _ = run_lstm(x, *model["right"], reverse=True)
-    return np.concatenate([left, right], axis=2) @ model["out"] + model["bias"]
+def prepared(model: dict) -> tuple[np.ndarray, ...]:
+    """The trained weights as ``emissions`` takes them: recurrent, input and bias weights of each direction in one matrix, the logistic
+    gates by tanh ((1 + tanh(x / 2)) / 2; states are held doubled), the outputs as differences to the tag outside of spans."""
+    gate = np.repeat(np.float32([0.5, 1]), [3 * HIDDEN, HIDDEN])[:, None]
+    left, right = (np.ascontiguousarray(np.concatenate([u * np.float32(0.5), w, b[None]]).T * gate) for w, u, b in (model["left"], model["right"]))
+    out, bias = (model["out"] - model["out"][:, :1]).T[1:] * np.float32(0.5), (model["bias"] - model["bias"][0])[1:, None]
+    return np.ascontiguousarray(model["embed"].T), left, right, np.ascontiguousarray(out[:, :HIDDEN]), np.ascontiguousarray(out[:, HIDDEN:]), bias
+
+
+def emissions(ready: tuple[np.ndarray, ...], window: np.ndarray, emit: np.ndarray) -> None:
+    """Sets ``emit`` (steps, TAGS - 1, windows), for character classes (steps, windows), to each tag's score less that of the tag outside
+    of spans."""
+    embed, left, right, out_left, out_right, bias = ready
+    steps_, n = window.shape
+    x = np.ascontiguousarray(embed[:, window].transpose(1, 0, 2))
+    fed, z, c, tc, part = (np.ones((k, n), dtype=np.float32) for k in (HIDDEN + EMBED + 1, 4 * HIDDEN, HIDDEN, HIDDEN, TAGS - 1))
+    h, i, f, o, g = fed[:HIDDEN], *(z[k * HIDDEN : (k + 1) * HIDDEN] for k in range(4))
+    for weights, out, order in ((left, out_left, range(steps_)), (right, out_right, range(steps_ - 1, -1, -1))):
+        h[:], c[:] = 0, 0
+        for t in order:
+            fed[HIDDEN:-1] = x[t]
+            np.matmul(weights, fed, out=z)
+            np.tanh(z, out=z)
+            z[: 3 * HIDDEN] += np.float32(1)
+            c *= f
+            i *= g
+            c += i
+            c *= np.float32(0.5)
+            np.multiply(o, np.tanh(c, out=tc), out=h)
+            np.matmul(out, h, out=part)
+            np.add(part, bias if weights is left else emit[t], out=emit[t])
 
 
 def viterbi(emit: np.ndarray, trans: np.ndarray) -> np.ndarray:
     """Best tags (windows, steps); no window's text starts inside a span unless cut there."""
     steps_, n, _ = emit.shape
-    score, back = emit[0], np.zeros((steps_, n, TAGS), dtype=np.int8)
+    score = np.array(emit.transpose(0, 2, 1), order="C")
+    outside = score[0, 0].copy()
     for t in range(1, steps_):
-        all_ = score[:, :, None] + trans[None]
-        back[t] = all_.argmax(axis=1)
-        score = all_.max(axis=1) + emit[t]
+        outside = score[t, 0] + (outside + trans[0, 0])
+        best = score[t - 1, 0] + trans[0][:, None]
+        for k in range(1, TAGS):
+            np.maximum(best, score[t - 1, k] + trans[k][:, None], out=best)
+        score[t] += best
     tags = np.zeros((n, steps_), dtype=np.int64)
-    tags[:, -1] = score.argmax(axis=1)
-    w = np.arange(n)
+    # Only paths that are better than staying outside of spans are followed back.
+    better = np.flatnonzero(score[-1].max(axis=0) > outside)
+    score = score[:, :, better]
+    own = tags[better]
+    own[:, -1] = score[-1].argmax(axis=0)
     for t in range(steps_ - 1, 0, -1):
-        tags[:, t - 1] = back[t, w, tags[:, t]]
+        own[:, t - 1] = (score[t - 1] + trans[:, own[:, t]]).argmax(axis=0)
+    tags[better] = own
     return tags
 
 
@@ -307,7 +341,7 @@ def train(sentences: int = 3000, epochs: int = 7, batch: int = 128, seed: int =
 
 
 def windows(text: str) -> list[int]:
-    """Starts of the overlapping windows that may hold a span."""
+    """Starts of the windows around digits, at signs and the words "at ... dot". The tagger reads all windows, not only these."""
     last = max(0, len(text) - STRIDE - 1) // STRIDE
     out: set[int] = set()
     spelled = SPELLED.finditer(text) if "dot" in text.lower() else ()
@@ -341,14 +375,50 @@ def plausible(kind: int, value: str) -> bool:
     return 10 <= len(digits) <= 15 and len(re.findall(r"[() ./-]+", value)) >= 2 and value.count("(") == value.count(")")
 
 
+#: A begin with what is inside of its kind, or what is inside of a kind with nothing before it.
+RUN = re.compile("|".join([*(f"[{chr(k)}]{chr(k + 1)}*" for k in range(1, TAGS, 2)), f"(?<![^\0])(?:{'|'.join(f'{chr(k)}+' for k in range(2, TAGS, 2))})"]).encode())
+
+
 def runs(tags: np.ndarray, gap: np.ndarray) -> Iterator[tuple[float, int, int, int]]:
     """(sureness, start, kind's index, end) of the spans of one tag sequence."""
-    pos = 0
-    for pos in np.flatnonzero((tags % 2 == 1) | ((tags > 0) & (np.concatenate([[0], tags[:-1]]) == 0))).tolist():
-        kind, end = (int(tags[pos]) - 1) // 2, pos + 1
-        while end < len(tags) and tags[end] == 2 + 2 * kind:
-            end += 1
-        yield float(gap[pos:end].mean()), pos, kind, end
+    for m in RUN.finditer(tags.astype(np.uint8).tobytes()):
+        start, end = m.span()
+        yield float(np.add.reduce(gap[start:end]) / (end - start)), start, (m[0][0] - 1) // 2, end
+
+
+def read(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All windows of all texts in order: (the texts' numbers, the windows' starts, character classes (windows, WINDOW)), PART or more
+    windows at a time. A window begins every STRIDE characters, the last one reaches its text's end."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for k, text in enumerate(texts):
+        n = -(-max(len(text) - STRIDE, 1) // STRIDE) if text else 0
+        for first in range(0, n, PART):
+            m = min(PART, n - first)
+            code = codes(text[first * STRIDE : (first + m + 1) * STRIDE]).astype(np.uint8)
+            blocks = np.pad(code, (0, (m + 1) * STRIDE - len(code))).reshape(m + 1, STRIDE)
+            held.append((np.full(m, k), np.arange(first, first + m) * STRIDE, np.concatenate([blocks[:-1], blocks[1:]], axis=1)))
+            if sum(len(x[0]) for x in held) >= PART:
+                yield tuple(map(np.concatenate, zip(*held, strict=True)))
+                held = []
+    if held:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
+
+def decoded(model: dict, texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(text, start, tags, gaps) of the windows that hold a tagged character, in order. Every window goes through the network."""
+    ready = prepared(model)
+    for ks, ats, window in read(texts):
+        emit = np.zeros((WINDOW, TAGS, len(ks)), dtype=np.float32)
+        for at in range(0, len(ks), LANES):
+            emissions(ready, window[at : at + LANES].T, emit[:, 1:, at : at + LANES])
+        tags = viterbi(emit.transpose(0, 2, 1), model["trans"])
+        rows = np.flatnonzero(tags.any(axis=1))
+        gaps = np.take_along_axis(emit[:, :, rows].transpose(2, 0, 1), tags[rows][:, :, None], 2)[:, :, 0]
+        for row, gap in zip(rows.tolist(), gaps, strict=True):
+            k, start = int(ks[row]), int(ats[row])
+            size = min(WINDOW, len(texts[k]) - start)
+            if tags[row, :size].any():
+                yield k, start, tags[row, :size], gap[:size]
 
 
 def model_spans(model: dict, texts: list[str], margin: float = 0.0) -> list[list[tuple[float, int, int, int]]]:
@@ -356,43 +426,39 @@ def model_spans(model: dict, texts: list[str], margin: float = 0.0) -> list[list
 
     Spans that a window sees whole come from that window. Besides, overlapping windows are laid together: each character has the tag
     of the window that it is in the middle of, so that spans of any length, at any place, are read across windows."""
-    jobs = [(k, at) for k, t in enumerate(texts) for at in windows(t)]
     out: list[set] = [set() for _ in texts]
-    edge, open_run = STRIDE // 2, None  # the text, start, tags and gaps of neighbouring windows
+    edge = STRIDE // 2
+    laid: tuple | None = None  # the text, start, tags and gaps of neighbouring windows, the end of the last
+
+    def put(k: int, start: int, tags: list[np.ndarray], gaps: list[np.ndarray]) -> None:
+        for sure, a, kind, b in runs(np.concatenate(tags), np.concatenate(gaps)):
+            if sure >= margin:
+                out[k].add((sure, start + a, kind, start + b))
 
     def close() -> None:
-        if open_run is not None:
-            k, start, tags, gaps, end = open_run
-            tags, gaps = np.concatenate(tags), np.concatenate(gaps)
-            for sure, a, kind, b in runs(tags, gaps):
-                if (a > 0 or start == 0) and (start + b < end or end == len(texts[k])) and sure >= margin:
-                    out[k].add((sure, start + a, kind, start + b))
-
-    for part in range(0, len(jobs), 1024):
-        some = jobs[part : part + 1024]
-        batch = np.zeros((len(some), WINDOW), dtype=np.int64)
-        for row, (k, at) in enumerate(some):
-            code = codes(texts[k][at : at + WINDOW])
-            batch[row, : len(code)] = code
-        emit = emissions(model, batch)
-        tags = viterbi(emit, model["trans"])
-        gap = np.take_along_axis(emit.transpose(1, 0, 2), tags[:, :, None], 2)[:, :, 0] - emit[:, :, 0].T
-        for row, (k, at) in enumerate(some):
-            size = min(WINDOW, len(texts[k]) - at)
-            t, g = tags[row, :size], gap[row, :size]
-            if t.any():
-                for sure, a, kind, b in runs(t, g):
-                    if (a > 0 or at == 0) and (b < size or at + size == len(texts[k])) and t[a] % 2 == 1 and sure >= margin:
-                        out[k].add((sure, at + a, kind, at + b))
-            if open_run is not None and open_run[0] == k and open_run[4] == at + STRIDE:
-                # The last window's second half gives way to the middle of this one.
-                open_run[2][-1], open_run[3][-1] = open_run[2][-1][:-edge], open_run[3][-1][:-edge]
-                open_run[2].append(t[edge:])
-                open_run[3].append(g[edge:])
-                open_run = (*open_run[:4], at + size)
-            else:
-                close()
-                open_run = (k, at, [t], [g], at + size)
+        if laid is not None:
+            k, start, tags, gaps, end = laid
+            if end < len(texts[k]):  # the next window, which has no tag, is the one for the last characters
+                tags[-1], gaps[-1] = tags[-1][:-edge], gaps[-1][:-edge]
+            put(k, start, tags, gaps)
+
+    for k, at, t, g in decoded(model, texts):
+        size = len(t)
+        for sure, a, kind, b in runs(t, g):
+            if (a > 0 or at == 0) and (b < size or at + size == len(texts[k])) and t[a] % 2 == 1 and sure >= margin:
+                out[k].add((sure, at + a, kind, at + b))
+        if laid is None or laid[0] != k or laid[4] != at + STRIDE:
+            close()
+            # The window before this one, if there is one, has no tag: what this one is the middle of begins a sequence.
+            laid = (k, at + edge, [t[edge:]], [g[edge:]], at + size) if at else (k, 0, [t], [g], size)
+        else:
+            # The last window's second half gives way to the middle of this one.
+            _, start, tags, gaps, _ = laid
+            tags[-1], gaps[-1] = tags[-1][:-edge], gaps[-1][:-edge]
+            if tags[-1][-1] == 0:
+                put(k, start, tags, gaps)
+                start, tags, gaps = at + edge, [], []
+            laid = (k, start, [*tags, t[edge:]], [*gaps, g[edge:]], at + size)
     close()
     return [sorted(x) for x in out]
 

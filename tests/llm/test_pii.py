@@ -142,3 +142,61 @@ def test_redaction(spark):
 def test_long_runs_stay_linear():
     for text in ("a" * 300_000, "1" * 300_000, "a." * 100_000 + "@", "1.." * 100_000, "0" * 9000 + ".1.1.999", "+" * 100_000, "@" * 100_000):
         assert pii.base_spans(text) == []
+
+
+def test_windows_without_a_trigger_are_read_too():
+    model, name = pii.train(), "y" * 300 + " (at) example (dot) org"
+    for value, text in [("john (at) example.org", "lorem ipsum dolor sit amet " * 9 + "write to john (at) example.org now. " + "dolor sit amet " * 9), ("vetist at quedrph.tylo.org", "please mail vetist at quedrph.tylo.org or write"), (name, "please write to " + name + " today")]:
+        start = text.index(value)
+        assert (start, 0, start + len(value)) in pii.reconcile(text, pii.base_spans(text), pii.model_spans(model, [text])[0]), value
+    assert pii.windows("please mail vetist at quedrph.tylo.org or write") == []
+
+
+def test_all_windows_are_cut_from_texts(monkeypatch):
+    monkeypatch.setattr(pii, "PART", 3)
+    texts = ["", "a", *("".join(chr(97 + (k * k + n) % 26) for k in range(n)) for n in (47, 48, 49, 96, 97, 143, 144, 145, 500, 1000))]
+    got = [(k, at, tuple(w)) for ks, ats, ws in pii.read(texts) for k, at, w in zip(ks.tolist(), ats.tolist(), ws.tolist(), strict=True)]
+    want = []
+    for k, text in enumerate(texts):
+        for at in range(0, max(len(text) - pii.STRIDE, 1), pii.STRIDE) if text else ():
+            part = pii.codes(text[at : at + pii.WINDOW]).tolist()
+            want.append((k, at, tuple(part + [0] * (pii.WINDOW - len(part)))))
+    assert got == want
+
+
+def plain_spans(model, text):
+    """Of every window by the definitions: the network gate by gate, the best path over all tags, characters by the window they are in the middle of."""
+    import numpy as np
+
+    starts, out = list(range(0, max(len(text) - pii.STRIDE, 1), pii.STRIDE)), set()
+    batch = np.zeros((len(starts), pii.WINDOW), dtype=np.int64)
+    for row, at in enumerate(starts):
+        code = pii.codes(text[at : at + pii.WINDOW])
+        batch[row, : len(code)] = code
+    x = model["embed"][batch.T]
+    states = [pii.run_lstm(x, *model[side], reverse=side == "right")[0] for side in ("left", "right")]
+    emit = np.concatenate(states, axis=2) @ model["out"] + model["bias"]
+    laid, gaps = np.zeros(len(text), dtype=int), np.zeros(len(text))
+    for row, at in enumerate(starts):
+        score, back = emit[0, row], []
+        for t in range(1, pii.WINDOW):
+            every = score[:, None] + model["trans"]
+            back.append(every.argmax(axis=0))
+            score = every.max(axis=0) + emit[t, row]
+        path = [int(score.argmax())]
+        for b in reversed(back):
+            path.append(int(b[path[-1]]))
+        size = min(pii.WINDOW, len(text) - at)
+        tags = np.array(path[::-1])[:size]
+        gap = emit[np.arange(size), row, tags] - emit[:size, row, 0]
+        out |= {(at + a, k, at + b) for _, a, k, b in pii.runs(tags, gap) if (a > 0 or at == 0) and (b < size or at + size == len(text)) and tags[a] % 2 == 1}
+        first = pii.STRIDE // 2 if at else 0
+        laid[at + first : at + size], gaps[at + first : at + size] = tags[first:], gap[first:]
+    return out | {(a, k, b) for _, a, k, b in pii.runs(laid, gaps)}
+
+
+def test_spans_are_those_of_all_windows():
+    made = [t for t, _ in pii.generated(60, 5)]
+    texts = [*made[:20], *(" ".join(made[k : k + 8]) for k in range(20, 60, 8)), "1" * 400, "no digits in here " * 30, "x" * 97]
+    found = pii.model_spans(pii.train(), texts)
+    assert [{f[1:] for f in x} for x in found] == [plain_spans(pii.train(), t) for t in texts]
