@@ -6,13 +6,17 @@ a source is less than one block away from its share. Weights are taken exactly,
 weights are whole shares of so many slots instead, and one period of them repeats. When a source runs
 out, the rest go on with their weights scaled up (a new phase); no row is dropped or repeated.
 
-Scale: the driver holds one number a source, MAX_SOURCES at most; one task makes the slots as a stream (one a block; with a ``quantum`` the
+Every source is scheduled by its own weight. Of more than MAX_SOURCES sources, the smaller ones that have equally many rows and equal
+weights form one entry of the schedule, with the sum of their weights, in which they take turns row by row, in the order of a hash of their names:
+that is Pfair for equal weights, and as they run out together the phases are those of each source on its own.
+
+Scale: the driver holds one number for each of MAX_SOURCES sources and for each different size and weight among the smaller ones (of n rows
+in all, fewer than the root of 2n sizes); which of these a row belongs to is joined from a table of sources. One task makes the slots as a stream (one a block; with a ``quantum`` the
 driver makes one period a phase), and they are joined by source and run of CHUNK blocks, broadcast only up to SLOTS_SENT. Row numbers within a source
 come from the counts of its hash ranges plus a row number in each range, so a source that holds a third of all rows is still
 spread over all tasks; the rows are shuffled once.
 
-Cases: of more than MAX_SOURCES sources the smaller ones are scheduled as one, with the sum of their weights (if weights are given, the least
-of these), their rows in the order of the hash; a null source counts as the source named ''; a null doc_id or text takes part; repeated rows are told apart
+Cases: a null source counts as the source named ''; a null doc_id or text takes part; repeated rows are told apart
 only by order; without given weights a source weighs its number of rows to the power of 0.5; sources without a given weight take the
 least weight given; those of weight zero come last; an empty table gives an empty result; columns named like the new ones are replaced.
 """
@@ -90,20 +94,23 @@ def schedule(blocks: dict[str, int], weights: dict[str, float], quantum: int) ->
     return pieces
 
 
-def exact_schedule(blocks: dict[str, int], weights: dict[str, float], chunk: int = CHUNK) -> Iterator[tuple[str, int, list[int], list[int]]]:
+def exact_schedule(blocks: dict[str, int], weights: dict[str, float | Fraction], chunk: int = CHUNK, members: dict[str, int] | None = None) -> Iterator[tuple[str, int, list[int], list[int]]]:
     """(source, run, slots of the run's blocks, first block of each phase of the source so far), ``chunk`` blocks a run, by the exact
-    weights. Runs come when they are full or their source is done, so that no more than a run a source is held."""
+    weights; among those of weight zero each counts as its number of ``members``, one if there is none. Runs come when they are full or
+    their source is done, so that no more than a run a source is held."""
     done = dict.fromkeys(blocks, 0)
     first: dict[str, list[int]] = {s: [] for s in blocks}
     held: dict[str, list[int]] = {s: [] for s in blocks}
-    base = 0
-    while active := sorted(s for s in blocks if done[s] < blocks[s]):
-        for s in active:
+    exact = {s: Fraction(weights[s]) for s in blocks}
+    scale = lcm(*(w.denominator for w in exact.values()))
+    whole = {s: int(w * scale) for s, w in exact.items()}
+    base, rest = 0, sorted(blocks)
+    while rest := [s for s in rest if done[s] < blocks[s]]:
+        for s in rest:
             first[s].append(done[s])
-        active = [s for s in active if weights[s] > 0] or active
-        exact = [Fraction(weights[s] or 1) for s in active]
-        scale = lcm(*(w.denominator for w in exact))
-        shares = [int(w * scale) for w in exact]
+        active = [s for s in rest if whole[s] > 0]
+        shares = [whole[s] for s in active] or [(members or {}).get(s, 1) for s in rest]
+        active = active or rest
         total = sum(shares)
         left = [blocks[s] - done[s] for s in active]
         waiting = [(0, -(-total // w), i, 0) for i, w in enumerate(shares)]
@@ -127,51 +134,75 @@ def exact_schedule(blocks: dict[str, int], weights: dict[str, float], chunk: int
         base += slot
 
 
-def slot_plan(spark: SparkSession, blocks: dict[str, int], weights: dict[str, float], chunk: int = CHUNK) -> DataFrame:
+def slot_plan(spark: SparkSession, blocks: dict[str, int], weights: dict[str, float | Fraction], chunk: int = CHUNK, members: dict[str, int] | None = None) -> DataFrame:
     """``exact_schedule``'s rows, made by one task as a stream: the driver holds none of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _ in batches:
-            for s, n, slots, first in exact_schedule(blocks, weights, chunk):
+            for s, n, slots, first in exact_schedule(blocks, weights, chunk, members):
                 yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([n], pa.int64()), pa.array([slots], pa.list_(pa.int64())), pa.array([first], pa.list_(pa.int64()))], names=["__mix_s", "__mix_run", "__mix_slots", "__mix_first"])
 
     return spark.range(1, numPartitions=1).mapInArrow(run, "__mix_s string, __mix_run long, __mix_slots array<long>, __mix_first array<long>")
 
 
+def numbered(rows: DataFrame, keys: list[str], hash_: Column, order: list[str], bits: int, name: str, extra: DataFrame | None = None) -> DataFrame:
+    """``rows`` with their number (from 0) among those of equal ``keys``, by hash and ``order``: the counts of the hash ranges before a row's
+    plus its number in its range, so that no key's rows are in one task. ``extra`` (columns ``keys`` and others) is joined to the counts."""
+    keyed = rows.withColumn("__mix_key", hash_).withColumn("__mix_range", F.shiftright("__mix_key", 64 - bits))
+    sizes = keyed.groupBy(*keys, "__mix_range").agg(F.count("*").alias("__mix_n"))
+    before = Window.partitionBy(*keys).orderBy("__mix_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("__mix_before", F.coalesce(F.sum("__mix_n").over(before), F.lit(0))).drop("__mix_n")
+    if extra is not None:
+        sizes = sizes.join(extra, keys, "left")
+    on = [*keys, "__mix_range"]
+    sizes = sizes.withColumnsRenamed({c: f"{c}_2" for c in on})
+    within = Window.partitionBy(*on).orderBy("__mix_key", *order)
+    ranked = keyed.withColumn(name, F.row_number().over(within))
+    ranked = ranked.join(sizes, [F.col(c) == F.col(f"{c}_2") for c in on])
+    return ranked.withColumn(name, F.col("__mix_before") + F.col(name) - 1).drop("__mix_key", "__mix_range", "__mix_before", *(f"{c}_2" for c in on))
+
+
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, source: str = "source", id_col: str = "doc_id", text: str = "text", block: int = BLOCK, quantum: int | None = None) -> DataFrame:
     """``docs`` with mix_phase, mix_slot (the block's place in the mix) and mix_position (the row's; increasing with
     slot, with gaps only behind the last block of a source)."""
     spark = docs.sparkSession
     kept = [c for c in docs.columns if c not in ("mix_phase", "mix_slot", "mix_position")]
     name: Column = F.coalesce(F.col(source).cast("string"), F.lit(""))
-    every = docs.groupBy(name.alias("s")).agg(F.count("*").alias("n"))
-    largest = {r.s: r.n for r in every.orderBy(F.desc("n"), "s").limit(MAX_SOURCES + 1).collect()}
-    counts, rest = largest, None
+    every = docs.groupBy(name.alias("__mix_source")).agg(F.count("*").alias("n"))
+    largest = [(r[0], r.n) for r in every.orderBy(F.desc("n"), "__mix_source").limit(MAX_SOURCES + 1).collect()]
+    counts, bits, turns = dict(largest[:MAX_SOURCES]), ceil(log2(4 * max(2, partitions(docs)))), None
+    least = min(weights.values(), default=1.0) if weights is not None else None
+    target: dict[str, float | Fraction] = {s: n**POWER if weights is None else weights.get(s, least) for s, n in counts.items()}
+    members = dict.fromkeys(counts, 1)
     if len(largest) > MAX_SOURCES:
-        counts = dict(list(largest.items())[:MAX_SOURCES])
-        rest = "\0rest"
-        while rest in counts:
-            rest += "_"
-        small = every.where(~F.col("s").isin(list(counts))).agg(F.sum("n").alias("n"), F.sum(F.pow("n", F.lit(POWER))).alias("w")).first()
-        name = F.when(name.isin(list(counts)), name).otherwise(F.lit(rest))
-    if weights is None:
-        weights = {s: n**POWER for s, n in counts.items()} | ({rest: small.w} if rest else {})
-    least = min(weights.values(), default=1.0)
-    if rest:
-        counts = counts | {rest: small.n}
-    blocks, target = {s: -(-n // block) for s, n in counts.items()}, {s: weights.get(s, least) for s in counts}
-    bits = ceil(log2(4 * max(2, partitions(docs))))
-    order = F.xxhash64(F.col(id_col), F.col(text))
-    keyed = docs.select(*kept, name.alias("__mix_source"), order.alias("__mix_key"), F.shiftright(order, 64 - bits).alias("__mix_range"))
-    sizes = keyed.groupBy("__mix_source", "__mix_range").agg(F.count("*").alias("__mix_n"))
-    before = Window.partitionBy("__mix_source").orderBy("__mix_range").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(F.col("__mix_source").alias("__mix_s2"), F.col("__mix_range").alias("__mix_r2"), F.coalesce(F.sum("__mix_n").over(before), F.lit(0)).alias("__mix_before"))
-    within = Window.partitionBy("__mix_source", "__mix_range").orderBy("__mix_key", id_col, text)
-    ranked = keyed.withColumn("__mix_row", F.row_number().over(within))
-    ranked = ranked.join(sizes, (F.col("__mix_source") == F.col("__mix_s2")) & (F.col("__mix_range") == F.col("__mix_r2")))
-    ranked = ranked.withColumn("__mix_row", F.col("__mix_before") + F.col("__mix_row") - 1).withColumn("__mix_block", F.floor(F.col("__mix_row") / block))
+        last, n_last = largest[MAX_SOURCES - 1]
+        small = every.where((F.col("n") < n_last) | ((F.col("n") == n_last) & (F.col("__mix_source") > F.lit(last))))
+        if weights is None:
+            small = small.withColumn("__mix_w", F.lit(0.0))  # follows from n
+        else:
+            given = spark.createDataFrame([(s, float(w)) for s, w in weights.items()], "__mix_source string, __mix_w double")
+            small = small.join(given, "__mix_source", "left").withColumn("__mix_w", F.coalesce("__mix_w", F.lit(float(least))))
+        mark = "\0"
+        while any(s.startswith(mark) for s in counts):
+            mark += "\0"
+        small = small.withColumn("__mix_entry", F.concat_ws("\0", F.lit(mark + "alike"), F.col("n").cast("string"), F.col("__mix_w").cast("string")))
+        for r in small.groupBy("__mix_entry", "n", "__mix_w").agg(F.count("*").alias("m")).toLocalIterator():
+            entry, n, w, m = r
+            counts[entry], members[entry] = n * m, m
+            target[entry] = m * Fraction(n**POWER if weights is None else w)
+        # Sources that are alike take turns: the j-th row of the i-th of m is the entry's row j m + i.
+        turns = small.select("__mix_source", "__mix_entry")
+        turns = numbered(turns, ["__mix_entry"], F.xxhash64("__mix_source"), ["__mix_source"], bits, "__mix_turn")
+    blocks = {s: -(-n // block) for s, n in counts.items()}
+    keyed = docs.select(*kept, name.alias("__mix_source"))
+    ranked = numbered(keyed, ["__mix_source"], F.xxhash64(F.col(id_col), F.col(text)), [id_col, text], bits, "__mix_row", turns)
+    if turns is not None:
+        sizes = spark.createDataFrame(list(members.items()), "__mix_e string, __mix_members long")
+        ranked = ranked.withColumn("__mix_source", F.coalesce("__mix_entry", "__mix_source")).join(sizes, F.col("__mix_source") == F.col("__mix_e"))
+        ranked = ranked.withColumn("__mix_row", F.col("__mix_row") * F.col("__mix_members") + F.coalesce("__mix_turn", F.lit(0)))
+    ranked = ranked.withColumn("__mix_block", F.floor(F.col("__mix_row") / block))
     if quantum is None:
-        plan = slot_plan(spark, blocks, target, CHUNK)
+        plan = slot_plan(spark, blocks, target, CHUNK, members)
         if sum(blocks.values()) <= SLOTS_SENT:
             plan = F.broadcast(plan)
         placed = ranked.join(plan, (F.col("__mix_source") == F.col("__mix_s")) & (F.floor(F.col("__mix_block") / CHUNK) == F.col("__mix_run")))

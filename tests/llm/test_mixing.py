@@ -140,3 +140,42 @@ def test_rows_follow_the_exact_schedule(spark, monkeypatch):
     for s, (at, first) in want.items():
         assert Counter(r.mix_slot for r in rows if r.source == s) == dict.fromkeys(at, 4)
         assert {(r.mix_slot, r.mix_phase) for r in rows if r.source == s} == {(slot, sum(x <= j for x in first) - 1) for j, slot in enumerate(at)}
+
+
+def test_small_sources_keep_their_own_weights(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 3)
+    sizes = {"a": 90, "b": 80, "c": 70} | {f"d{k}": 24 for k in range(3)} | {f"e{k}": 6 for k in range(4)} | {"f": 1}
+    df = spark.createDataFrame([(100 * i + k, f"t{k}", s) for i, (s, n) in enumerate(sizes.items()) for k in range(n)], "doc_id long, text string, source string")
+    heavy = {"a": 1.0, "b": 2.0, "c": 1.0, "d0": 9.0, "d1": 0.5, "d2": 9.0, "e1": 0.0, "e2": 0.0}
+    for given in (None, heavy):
+        got = sorted(mixing.mix_sources(df, given, block=1).collect(), key=lambda r: r.mix_position)
+        assert Counter(r.source for r in got) == sizes and [r.mix_position for r in got] == list(range(sum(sizes.values())))
+        weight = {s: n**0.5 if given is None else given.get(s, 0.0) for s, n in sizes.items()}
+        left, base = dict(sizes), 0
+        while left:
+            # Until a source runs out, all that are alike have as many rows as each other, to one, and each is less than one from its share.
+            active = {s: weight[s] for s in left if weight[s] > 0} or dict.fromkeys(left, 1.0)
+            alike = {s: [o for o in active if (sizes[o], active[o]) == (sizes[s], active[s])] if s not in "abc" else [s] for s in active}
+            seen, ends = Counter(), False
+            while not ends:
+                seen[got[base].source] += 1
+                base += 1
+                place = sum(seen.values())
+                for s, w in active.items():
+                    assert abs(seen[s] - place * w / sum(active.values())) < 2, (given, s, place)
+                    assert all(abs(seen[s] - seen[o]) <= 1 for o in alike[s])
+                ends = any(seen[s] == left[s] for s in active) and all(seen[o] == left[o] for s in active if seen[s] == left[s] for o in alike[s])
+            left = {s: n - seen[s] for s, n in left.items() if n > seen[s]}
+
+
+def test_more_sources_than_the_driver_lists(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 5)
+    df = spark.range(4000).selectExpr("id AS doc_id", "CAST(id AS STRING) AS text", "IF(id < 1000, concat('a', id % 7), concat('s', id % 700)) AS source")
+    got = mixing.mix_sources(df, block=8).collect()
+    assert len(got) == 4000 and len({r.mix_position for r in got}) == 4000
+    small = sorted((r.mix_position, r.source) for r in got if r.source.startswith("s"))
+    of = Counter(s for _, s in small)
+    for n in set(of.values()):
+        order = [s for _, s in small if of[s] == n]
+        m = len(set(order))
+        assert all(len(set(order[k : k + m])) == m for k in range(0, len(order), m))
