@@ -106,3 +106,10 @@ def test_queries_run_on_the_smallest_tables(spark):
 
 def test_thresholds_are_production_ones():
     assert (simhash.SHINGLE, simhash.SEED, simhash.RADIUS) == (4, 42, 4) and (nearcopies.SHINGLE, nearcopies.SHARE) == (5, 0.8) and decontaminate.WINDOW == 13
+
+
+def test_spelled_addresses_without_a_trigger_are_redacted(spark):
+    lead = "lorem ipsum dolor sit amet " * 9
+    docs = spark.createDataFrame([(1, lead + "write to john (at) example.org now. " + lead), (2, lead)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.personal_data_stage(spark, docs, SF).collect()}
+    assert got == {1: lead + "write to [EMAIL] now. " + lead, 2: lead}
