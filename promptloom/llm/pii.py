@@ -41,12 +41,13 @@ TRIGGER = re.compile(r"[0-9@]+")
 #: The words "at" and "dot" with a name between them, which is 253 characters long at most.
 SPELLED = re.compile(r"\bat\b[\s\])}>]{0,4}[\w.-]{1,253}[\s\[({<]{1,4}dot\b", re.I)
 WINDOW, STRIDE = 96, 48
-#: Windows that go through the network at once (their states stay in a core's cache), windows that are cut from texts at once.
-LANES, PART = 256, 4096
+#: Windows of one matrix product and products at once (their states stay in a core's cache), windows that are cut from texts at once.
+LANES, GROUPS, PART = 256, 2, 4096
 CHARS, EMBED, HIDDEN, TAGS = 130, 14, 24, 1 + 2 * len(KINDS)
 #: Shapes of what the tagger may add. An at sign or a dot may be spelled, in brackets or apart.
 AT_SIGN, DOT_SIGN = r"(?:@|\s@\s|\s?[\[({<]\s?(?:at|@)\s?[\])}>]\s?|\sat\s)", r"(?:\.|\s\.\s|\s?[\[({<]\s?(?:dot|\.)\s?[\])}>]\s?|\sdot\s)"
-EMAIL_SHAPE = re.compile(rf"[\w.%+-]+(?:{DOT_SIGN}[\w.%+-]+)*{AT_SIGN}[\w-]+(?:{DOT_SIGN}[\w-]+)*{DOT_SIGN}[a-z]{{2,24}}", re.I | re.A)
+#: It can only begin where a name does, and gives nothing of a name back, so that a long name without an address is read once.
+EMAIL_SHAPE = re.compile(rf"(?<![\w.%+-])[\w.%+-]++(?:{DOT_SIGN}[\w.%+-]++)*{AT_SIGN}[\w-]+(?:{DOT_SIGN}[\w-]+)*{DOT_SIGN}[a-z]{{2,24}}", re.I | re.A)
 IP_SHAPE = re.compile(rf"([0-9]{{1,3}}){DOT_SIGN}([0-9]{{1,3}}){DOT_SIGN}([0-9]{{1,3}}){DOT_SIGN}([0-9]{{1,3}})", re.I)
 CARD_SHAPE = re.compile(r"[0-9](?:[\x20._/-]{0,3}[0-9])+")
 PHONE_SHAPE = re.compile(r"\(?\+?[0-9][0-9()\x20./-]*[0-9]")
@@ -149,8 +150,8 @@ def generated(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, int]]]]
 
 def codes(text: str) -> np.ndarray:
     """Character classes: ASCII as it is, other letters one class; 0 pads."""
-    points = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.int64)
-    return np.where(points < 128, points + 1, 129)
+    points = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)
+    return np.minimum(points, 128).astype(np.int64) + 1
 
 
 def tagged(text: str, spans: list[tuple[int, int, int]]) -> np.ndarray:
@@ -240,55 +241,78 @@ def prepared(model: dict) -> tuple[np.ndarray, ...]:
     """The trained weights as ``emissions`` takes them: recurrent, input and bias weights of each direction in one matrix, the logistic
     gates by tanh ((1 + tanh(x / 2)) / 2; states are held doubled), the outputs as differences to the tag outside of spans."""
     gate = np.repeat(np.float32([0.5, 1]), [3 * HIDDEN, HIDDEN])[:, None]
-    left, right = (np.ascontiguousarray(np.concatenate([u * np.float32(0.5), w, b[None]]).T * gate) for w, u, b in (model["left"], model["right"]))
+    weights = np.stack([np.concatenate([u * np.float32(0.5), w, b[None]]).T * gate for w, u, b in (model["left"], model["right"])])
     out, bias = (model["out"] - model["out"][:, :1]).T[1:] * np.float32(0.5), (model["bias"] - model["bias"][0])[1:, None]
-    return np.ascontiguousarray(model["embed"].T), left, right, np.ascontiguousarray(out[:, :HIDDEN]), np.ascontiguousarray(out[:, HIDDEN:]), bias
-
-
-def emissions(ready: tuple[np.ndarray, ...], window: np.ndarray, emit: np.ndarray) -> None:
-    """Sets ``emit`` (steps, TAGS - 1, windows), for character classes (steps, windows), to each tag's score less that of the tag outside
-    of spans."""
-    embed, left, right, out_left, out_right, bias = ready
-    steps_, n = window.shape
-    x = np.ascontiguousarray(embed[:, window].transpose(1, 0, 2))
-    fed, z, c, tc, part = (np.ones((k, n), dtype=np.float32) for k in (HIDDEN + EMBED + 1, 4 * HIDDEN, HIDDEN, HIDDEN, TAGS - 1))
-    h, i, f, o, g = fed[:HIDDEN], *(z[k * HIDDEN : (k + 1) * HIDDEN] for k in range(4))
-    for weights, out, order in ((left, out_left, range(steps_)), (right, out_right, range(steps_ - 1, -1, -1))):
-        h[:], c[:] = 0, 0
-        for t in order:
-            fed[HIDDEN:-1] = x[t]
-            np.matmul(weights, fed, out=z)
-            np.tanh(z, out=z)
-            z[: 3 * HIDDEN] += np.float32(1)
-            c *= f
-            i *= g
-            c += i
-            c *= np.float32(0.5)
-            np.multiply(o, np.tanh(c, out=tc), out=h)
-            np.matmul(out, h, out=part)
-            np.add(part, bias if weights is left else emit[t], out=emit[t])
+    return np.ascontiguousarray(model["embed"].T), weights[:, None], np.stack([out[:, :HIDDEN], out[:, HIDDEN:]])[:, None], bias
+
+
+def buffers(groups: int, lanes: int) -> list[np.ndarray]:
+    """What ``emissions`` works in, for groups of lanes: inputs of both directions, gates, cells, tanh of cells, outputs, characters."""
+    sizes = (HIDDEN + EMBED + 1,), (4 * HIDDEN,), (HIDDEN,), (HIDDEN,)
+    return [*(np.ones((2, groups, *size, lanes), dtype=np.float32) for size in sizes), np.empty((2, WINDOW, groups, TAGS - 1, lanes), dtype=np.float32), np.empty((EMBED, WINDOW, groups, lanes), dtype=np.float32)]
+
+
+def emissions(ready: tuple[np.ndarray, ...], held: list[np.ndarray], window: np.ndarray, emit: np.ndarray) -> None:
+    """Sets ``emit`` (WINDOW, TAGS - 1, windows), for character classes (windows, WINDOW), to each tag's score less that of the tag
+    outside of spans. Both directions and all groups take a step at once."""
+    embed, weights, outs, bias = ready
+    fed, z, c, tc, out, x = held
+    groups, lanes = z.shape[1], z.shape[3]
+    filled = np.zeros((WINDOW, groups * lanes), dtype=np.intp)
+    filled[:, : len(window)] = window.T
+    np.take(embed, filled.reshape(WINDOW, groups, lanes), axis=1, out=x, mode="clip")  # all classes are in the table; this mode takes without a copy
+    x = x.transpose(1, 2, 0, 3)
+    h, left, right = fed[:, :, :HIDDEN], fed[0, :, HIDDEN:-1], fed[1, :, HIDDEN:-1]
+    i, f, o, g = (z[:, :, k * HIDDEN : (k + 1) * HIDDEN] for k in range(4))
+    logistic = z[:, :, : 3 * HIDDEN]
+    h[:], c[:] = 0, 0
+    for t in range(WINDOW):
+        left[:], right[:] = x[t], x[WINDOW - 1 - t]
+        np.matmul(weights, fed, out=z)
+        np.tanh(z, out=z)
+        logistic += np.float32(1)
+        c *= f
+        i *= g
+        c += i
+        c *= np.float32(0.5)
+        np.multiply(o, np.tanh(c, out=tc), out=h)
+        np.matmul(outs, h, out=out[:, t])
+    for k in range(groups):
+        part = emit[:, :, k * lanes : (k + 1) * lanes]
+        n = part.shape[2]
+        np.add(out[0, :, k, :, :n], out[1, ::-1, k, :, :n], out=part)
+        part += bias
 
 
 def viterbi(emit: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """Best tags (windows, steps); no window's text starts inside a span unless cut there."""
+    """Best tags (windows, steps); no window's text starts inside a span unless cut there. What ``allowed`` forbids is not tried."""
     steps_, n, _ = emit.shape
-    score = np.array(emit.transpose(0, 2, 1), order="C")
+    emit, score = emit.transpose(0, 2, 1), np.empty((steps_, TAGS, n), dtype=emit.dtype)
+    score[0] = emit[0]
     outside = score[0, 0].copy()
+    free = [0, *range(1, TAGS, 2)]  # what any tag may go before; inside of a kind comes only behind its begin and itself
+    into, begun, inside = trans[:, free, None], np.diag(trans, 1)[1::2, None], np.diag(trans)[2::2, None]
+    best, other, within = np.empty((len(free), n), dtype=emit.dtype), np.empty((len(free), n), dtype=emit.dtype), np.empty((len(KINDS), n), dtype=emit.dtype)
     for t in range(1, steps_):
-        outside = score[t, 0] + (outside + trans[0, 0])
-        best = score[t - 1, 0] + trans[0][:, None]
+        before, now = score[t - 1], score[t]
+        outside = emit[t, 0] + (outside + trans[0, 0])
+        np.add(before[0], into[0], out=best)
         for k in range(1, TAGS):
-            np.maximum(best, score[t - 1, k] + trans[k][:, None], out=best)
-        score[t] += best
+            np.maximum(best, np.add(before[k], into[k], out=other), out=best)
+        np.add(before[1::2], begun, out=within)
+        np.maximum(within, np.add(before[2::2], inside, out=other[1:]), out=within)
+        np.add(emit[t, 0], best[0], out=now[0])
+        np.add(emit[t, 1::2], best[1:], out=now[1::2])
+        np.add(emit[t, 2::2], within, out=now[2::2])
     tags = np.zeros((n, steps_), dtype=np.int64)
     # Only paths that are better than staying outside of spans are followed back.
     better = np.flatnonzero(score[-1].max(axis=0) > outside)
     score = score[:, :, better]
-    own = tags[better]
-    own[:, -1] = score[-1].argmax(axis=0)
+    own = np.empty((steps_, len(better)), dtype=np.int64)
+    own[-1] = score[-1].argmax(axis=0)
     for t in range(steps_ - 1, 0, -1):
-        own[:, t - 1] = (score[t - 1] + trans[:, own[:, t]]).argmax(axis=0)
-    tags[better] = own
+        own[t - 1] = (score[t - 1] + trans[:, own[t]]).argmax(axis=0)
+    tags[better] = own.T
     return tags
 
 
@@ -354,6 +378,7 @@ def windows(text: str) -> list[int]:
     return [w * STRIDE for w in sorted(out)]
 
 
+AT = re.compile(AT_SIGN, re.I | re.A)
 SHAPES = (EMAIL_SHAPE, re.compile(rf"{IP_SHAPE.pattern}|[0-9a-f:]{{7,}}", re.I), CARD_SHAPE, PHONE_SHAPE)
 
 
@@ -375,15 +400,23 @@ def plausible(kind: int, value: str) -> bool:
     return 10 <= len(digits) <= 15 and len(re.findall(r"[() ./-]+", value)) >= 2 and value.count("(") == value.count(")")
 
 
-#: A begin with what is inside of its kind, or what is inside of a kind with nothing before it.
-RUN = re.compile("|".join([*(f"[{chr(k)}]{chr(k + 1)}*" for k in range(1, TAGS, 2)), f"(?<![^\0])(?:{'|'.join(f'{chr(k)}+' for k in range(2, TAGS, 2))})"]).encode())
+def found(tags: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(sureness, start, kind's index, end) of the spans of one tag sequence that ends in the tag outside of spans, as columns.
+
+    A span is a begin with what is inside of its kind, or what is inside of a kind with nothing before it."""
+    before = np.concatenate([[0], tags[:-1]]).astype(tags.dtype)
+    even, tagged_ = tags % 2 == 0, tags > 0
+    more = even & tagged_ & ((before == tags) | (before + 1 == tags))  # goes on with what is before it
+    start, stops = np.flatnonzero(tagged_ & (~even | (before == 0))), np.flatnonzero(~more)
+    end = stops[np.searchsorted(stops, start) + 1]
+    sums = np.add.reduceat(gap, np.stack([start, end], axis=1).ravel())[::2] if len(start) else gap[:0]
+    return sums / (end - start), start, (tags[start].astype(np.int64) - 1) // 2, end
 
 
 def runs(tags: np.ndarray, gap: np.ndarray) -> Iterator[tuple[float, int, int, int]]:
     """(sureness, start, kind's index, end) of the spans of one tag sequence."""
-    for m in RUN.finditer(tags.astype(np.uint8).tobytes()):
-        start, end = m.span()
-        yield float(np.add.reduce(gap[start:end]) / (end - start)), start, (m[0][0] - 1) // 2, end
+    columns = found(np.append(tags, 0), np.append(gap, 0))
+    return zip(*(x.tolist() for x in columns), strict=True)
 
 
 def read(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -404,21 +437,27 @@ def read(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]
         yield tuple(map(np.concatenate, zip(*held, strict=True)))
 
 
-def decoded(model: dict, texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(text, start, tags, gaps) of the windows that hold a tagged character, in order. Every window goes through the network."""
-    ready = prepared(model)
+def decoded(model: dict, texts: list[str]) -> Iterator[tuple[np.ndarray, ...]]:
+    """The windows that hold a tagged character, in order: (the texts' numbers, the windows' starts, their sizes, tags and gaps (windows,
+    WINDOW)), some at a time. Every window goes through the network."""
+    ready, lengths = prepared(model), np.array([len(t) for t in texts])
+    held = buffers(0, 0)
     for ks, ats, window in read(texts):
-        emit = np.zeros((WINDOW, TAGS, len(ks)), dtype=np.float32)
-        for at in range(0, len(ks), LANES):
-            emissions(ready, window[at : at + LANES].T, emit[:, 1:, at : at + LANES])
+        n = len(ks)
+        emit = np.zeros((WINDOW, TAGS, n), dtype=np.float32)
+        for at in range(0, n, GROUPS * LANES):
+            size = min(GROUPS * LANES, n - at)
+            lanes = -(-size // GROUPS)
+            if held[0].shape[3] != lanes:
+                held = buffers(GROUPS, lanes)
+            emissions(ready, held, window[at : at + size], emit[:, 1:, at : at + size])
         tags = viterbi(emit.transpose(0, 2, 1), model["trans"])
+        sizes = np.minimum(WINDOW, lengths[ks] - ats)
+        tags[np.arange(WINDOW) >= sizes[:, None]] = 0
         rows = np.flatnonzero(tags.any(axis=1))
-        gaps = np.take_along_axis(emit[:, :, rows].transpose(2, 0, 1), tags[rows][:, :, None], 2)[:, :, 0]
-        for row, gap in zip(rows.tolist(), gaps, strict=True):
-            k, start = int(ks[row]), int(ats[row])
-            size = min(WINDOW, len(texts[k]) - start)
-            if tags[row, :size].any():
-                yield k, start, tags[row, :size], gap[:size]
+        tags = tags[rows]
+        gaps = np.take_along_axis(emit[:, :, rows].transpose(2, 0, 1), tags[:, :, None], 2)[:, :, 0]
+        yield ks[rows], ats[rows], sizes[rows], tags.astype(np.uint8), gaps
 
 
 def model_spans(model: dict, texts: list[str], margin: float = 0.0) -> list[list[tuple[float, int, int, int]]]:
@@ -427,54 +466,65 @@ def model_spans(model: dict, texts: list[str], margin: float = 0.0) -> list[list
     Spans that a window sees whole come from that window. Besides, overlapping windows are laid together: each character has the tag
     of the window that it is in the middle of, so that spans of any length, at any place, are read across windows."""
     out: list[set] = [set() for _ in texts]
-    edge = STRIDE // 2
-    laid: tuple | None = None  # the text, start, tags and gaps of neighbouring windows, the end of the last
-
-    def put(k: int, start: int, tags: list[np.ndarray], gaps: list[np.ndarray]) -> None:
-        for sure, a, kind, b in runs(np.concatenate(tags), np.concatenate(gaps)):
-            if sure >= margin:
-                out[k].add((sure, start + a, kind, start + b))
-
-    def close() -> None:
-        if laid is not None:
-            k, start, tags, gaps, end = laid
-            if end < len(texts[k]):  # the next window, which has no tag, is the one for the last characters
-                tags[-1], gaps[-1] = tags[-1][:-edge], gaps[-1][:-edge]
-            put(k, start, tags, gaps)
-
-    for k, at, t, g in decoded(model, texts):
-        size = len(t)
-        for sure, a, kind, b in runs(t, g):
-            if (a > 0 or at == 0) and (b < size or at + size == len(texts[k])) and t[a] % 2 == 1 and sure >= margin:
-                out[k].add((sure, at + a, kind, at + b))
-        if laid is None or laid[0] != k or laid[4] != at + STRIDE:
-            close()
-            # The window before this one, if there is one, has no tag: what this one is the middle of begins a sequence.
-            laid = (k, at + edge, [t[edge:]], [g[edge:]], at + size) if at else (k, 0, [t], [g], size)
-        else:
-            # The last window's second half gives way to the middle of this one.
-            _, start, tags, gaps, _ = laid
-            tags[-1], gaps[-1] = tags[-1][:-edge], gaps[-1][:-edge]
-            if tags[-1][-1] == 0:
-                put(k, start, tags, gaps)
-                start, tags, gaps = at + edge, [], []
-            laid = (k, start, [*tags, t[edge:]], [*gaps, g[edge:]], at + size)
-    close()
+    lengths, edge = np.array([len(t) for t in texts]), STRIDE // 2
+
+    def put(columns: tuple[np.ndarray, ...], keep: np.ndarray, ks: np.ndarray, starts: np.ndarray) -> None:
+        """The kept spans; ``starts``: where they begin in their texts."""
+        sure, start, kind, end = columns
+        keep &= sure >= margin
+        for k, *span in zip(*(x[keep].tolist() for x in (ks, sure, starts, kind, starts + end - start)), strict=True):
+            out[k].add(tuple(span))
+
+    def whole(ks: np.ndarray, ats: np.ndarray, sizes: np.ndarray, tags: np.ndarray, gaps: np.ndarray) -> None:
+        """Spans that begin and end in their window."""
+        width = WINDOW + 1
+        columns = _, start, _, end = found(*(np.pad(x, ((0, 0), (0, 1))).ravel() for x in (tags, gaps)))
+        row, a = np.divmod(start, width)
+        b = a + end - start
+        keep = ((a > 0) | (ats[row] == 0)) & ((b < sizes[row]) | (ats[row] + sizes[row] == lengths[ks[row]])) & (tags[row, a] % 2 == 1)
+        put(columns, keep, ks[row], ats[row] + a)
+
+    def laid(ks: np.ndarray, ats: np.ndarray, sizes: np.ndarray, tags: np.ndarray, gaps: np.ndarray) -> None:
+        """Spans of the windows laid together: of each its middle, of a text's first and last one what is before and behind it too. A
+        window that is not here has no tag, so that a column of the tag outside stands for it."""
+        apart = np.concatenate([[True], (ks[1:] != ks[:-1]) | (ats[1:] != ats[:-1] + STRIDE)])
+        at = np.arange(-1, WINDOW)
+        own = (at >= np.where(ats == 0, 0, edge)[:, None]) & (at < np.where(ats + sizes == lengths[ks], sizes, WINDOW - edge)[:, None])
+        own[:, 0] = apart
+        row, column = np.nonzero(own)
+        columns = _, start, _, _ = found(*(np.append(np.pad(x, ((0, 0), (1, 0)))[own], x.dtype.type(0)) for x in (tags, gaps)))
+        put(columns, np.ones(len(start), dtype=bool), ks[row[start]], ats[row[start]] + column[start] - 1)
+
+    rest: tuple[np.ndarray, ...] | None = None  # the last windows, whose spans may go on
+    for part in decoded(model, texts):
+        whole(*part)
+        part = part if rest is None else tuple(map(np.concatenate, zip(rest, part, strict=True)))
+        closed = np.flatnonzero(part[3][:, WINDOW - edge - 1] == 0)
+        n = closed[-1] + 1 if len(closed) else 0
+        if n:
+            laid(*(x[:n] for x in part))
+        rest = tuple(x[n:] for x in part)
+    if rest is not None and len(rest[0]):
+        laid(*rest)
     return [sorted(x) for x in out]
 
 
 def reconcile(text: str, base: list[tuple[int, int, int]], found: list[tuple[float, int, int, int]]) -> list[tuple[int, int, int]]:
     """All spans of one text, sorted: the base ones, and tagged ones that overlap none, the surest first."""
-    out = list(base)
+    out, taken = list(base), bytearray(len(text))
     edge = lambda p: not (0 < p < len(text)) or not (text[p - 1].isalnum() and text[p].isalnum())
-    for _, start, kind, end in sorted(found, key=lambda f: (-f[0], f[1], f[2], f[3])):
+    for start, _, end in base:
+        taken[start:end] = b"\1" * (end - start)
+    for _, first, kind, last in sorted(found, key=lambda f: (-f[0], f[1], f[2], f[3])):
         # What a tagged span has before or behind the shape of its kind is no part of it.
-        shaped = SHAPES[kind].search(text, start, end)
+        value = text[first:last]
+        shaped = SHAPES[kind].search(value) if kind or AT.search(value) else None
         if shaped is None:
             continue
-        start, end = shaped.span()
-        if edge(start) and edge(end) and plausible(kind, shaped[0]) and not any(start < e and s < end for s, _, e in out):
+        start, end = first + shaped.start(), first + shaped.end()
+        if edge(start) and edge(end) and plausible(kind, shaped[0]) and taken.find(1, start, end) < 0:
             out.append((start, kind, end))
+            taken[start:end] = b"\1" * (end - start)
     return sorted(out)
 
 

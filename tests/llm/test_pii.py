@@ -200,3 +200,32 @@ def test_spans_are_those_of_all_windows():
     texts = [*made[:20], *(" ".join(made[k : k + 8]) for k in range(20, 60, 8)), "1" * 400, "no digits in here " * 30, "x" * 97]
     found = pii.model_spans(pii.train(), texts)
     assert [{f[1:] for f in x} for x in found] == [plain_spans(pii.train(), t) for t in texts]
+
+
+def test_spans_go_on_from_part_to_part(monkeypatch):
+    made = [t for t, _ in pii.generated(24, 9)]
+    texts = [" ".join(made), "", "write to " + "x" * 400 + " (at) example (dot) org or " + "1" * 600 + ". " + made[0], "a b " * 300, *made[:5]]
+    want = [plain_spans(pii.train(), t) if t else set() for t in texts]
+    for part in (1, 3, 4096):
+        monkeypatch.setattr(pii, "PART", part)
+        assert [{f[1:] for f in x} for x in pii.model_spans(pii.train(), texts)] == want, part
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(["a", "B9", ".", "_", "%", "-", "+", " ", "@", " at ", "(at)", " [AT] ", " dot ", "[.]", " . ", "(dot)", "org", "x.y", "\u00e9"]), max_size=14).map("".join))
+def test_address_shape_is_that_of_its_parts(text):
+    wide = re.compile(rf"[\w.%+-]+(?:{pii.DOT_SIGN}[\w.%+-]+)*{pii.AT_SIGN}[\w-]+(?:{pii.DOT_SIGN}[\w-]+)*{pii.DOT_SIGN}[a-z]{{2,24}}", re.I | re.A)
+    one, other = wide.search(text), pii.EMAIL_SHAPE.search(text)
+    assert (one and one.span()) == (other and other.span()) and (one is None or pii.AT.search(text))
+
+
+def test_long_tagged_runs_stay_linear():
+    import time
+
+    began = time.process_time()
+    assert pii.reconcile("x" * 100_000, [], [(1.0, 0, 0, 99_996)]) == []
+    assert pii.reconcile("x" * 100_000 + " at y", [], [(1.0, 0, 0, 100_005)]) == []
+    many = "a@b.de " * 20_000
+    base = pii.base_spans(many)
+    assert pii.reconcile(many, base, [(1.0, s, k, e) for s, k, e in base]) == base
+    assert time.process_time() - began < 20
