@@ -6,8 +6,10 @@ construction, reads overlapping windows of WINDOW characters, decodes each by Vi
 spans are reconciled over the whole text: base spans stay, spans that a window cuts are read across windows laid together, and of
 overlapping ones the surest wins. A tagged span must also hold its kind's shape, and is cut to it (``SHAPES``, ``plausible``).
 
-Every window of every text is run through the network, whatever it holds: an address like "name (at) host.org" has no digit, no at
-sign and no word "dot". The weights are laid out for that (``prepared``), and only the paths that leave the outside tag are followed back.
+``model_spans`` runs the network over every window. As of its spans only those stay that hold a plausible shape, ``find_spans`` takes the
+windows where such a span can be: every shape holds one of few marks (``PLACES``: an at sign or word before a name and a dot, three dots or
+colons between numbers, ten digits with separators), which are looked for in the whole text. The windows with a mark are run, and from them
+those before and behind, as long as a tag reaches over (``near``), so that spans of any length are read whole and none is lost.
 
 Cases: null and empty texts have no spans; a null doc_id, repeated rows and extra columns pass through; offsets count code
 points, the end is exclusive; very long texts are read in windows; an empty table gives an empty result.
@@ -52,6 +54,16 @@ IP_SHAPE = re.compile(rf"([0-9]{{1,3}}){DOT_SIGN}([0-9]{{1,3}}){DOT_SIGN}([0-9]{
 CARD_SHAPE = re.compile(r"[0-9](?:[\x20._/-]{0,3}[0-9])+")
 PHONE_SHAPE = re.compile(r"\(?\+?[0-9][0-9()\x20./-]*[0-9]")
 
+#: Marks, one at least in whatever has a kind's shape and is plausible, at any cut of the text around it (what is looked at before or
+#: behind a mark is within the shape): the sign of an address, the first dot or colons of an IP address, the digits of a number.
+PLACES = (
+    re.compile(rf"@(?=(?:\s?[\])}}>]\s?|\s)?[\w-]++(?i:{DOT_SIGN})[\w-])", re.A),
+    re.compile(rf"[Aa][Tt](?<=[\s\[({{<]..)(?=(?:\s?[\])}}>]\s?|\s)[\w-]++(?i:{DOT_SIGN})[\w-])", re.A),
+    re.compile(rf"[0-9](?=(?i:{DOT_SIGN}[0-9]{{1,3}}{DOT_SIGN}[0-9]{{1,3}}{DOT_SIGN})[0-9])"),
+    re.compile(r":(?=[0-9A-Fa-f]{0,4}:[0-9A-Fa-f]{0,4}:)"),
+    re.compile(r"[0-9](?:[()\x20._/-]*+[0-9]){9,}+"),
+)
+
 
 def luhn(digits: str) -> bool:
     total = 0
@@ -437,31 +449,83 @@ def read(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]
         yield tuple(map(np.concatenate, zip(*held, strict=True)))
 
 
+def best(model: dict, window: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows with a tagged character, their tags, their gaps (rows, WINDOW)) of windows' character classes; each goes through the network."""
+    ready, n = prepared(model), len(window)
+    held, emit = buffers(0, 0), np.zeros((WINDOW, TAGS, n), dtype=np.float32)
+    for at in range(0, n, GROUPS * LANES):
+        size = min(GROUPS * LANES, n - at)
+        lanes = -(-size // GROUPS)
+        if held[0].shape[3] != lanes:
+            held = buffers(GROUPS, lanes)
+        emissions(ready, held, window[at : at + size], emit[:, 1:, at : at + size])
+    tags = viterbi(emit.transpose(0, 2, 1), model["trans"])
+    tags[np.arange(WINDOW) >= sizes[:, None]] = 0
+    rows = np.flatnonzero(tags.any(axis=1))
+    tags = tags[rows]
+    gaps = np.take_along_axis(emit[:, :, rows].transpose(2, 0, 1), tags[:, :, None], 2)[:, :, 0]
+    return rows, tags.astype(np.uint8), gaps
+
+
 def decoded(model: dict, texts: list[str]) -> Iterator[tuple[np.ndarray, ...]]:
     """The windows that hold a tagged character, in order: (the texts' numbers, the windows' starts, their sizes, tags and gaps (windows,
     WINDOW)), some at a time. Every window goes through the network."""
-    ready, lengths = prepared(model), np.array([len(t) for t in texts])
-    held = buffers(0, 0)
+    lengths = np.array([len(t) for t in texts])
     for ks, ats, window in read(texts):
-        n = len(ks)
-        emit = np.zeros((WINDOW, TAGS, n), dtype=np.float32)
-        for at in range(0, n, GROUPS * LANES):
-            size = min(GROUPS * LANES, n - at)
-            lanes = -(-size // GROUPS)
-            if held[0].shape[3] != lanes:
-                held = buffers(GROUPS, lanes)
-            emissions(ready, held, window[at : at + size], emit[:, 1:, at : at + size])
-        tags = viterbi(emit.transpose(0, 2, 1), model["trans"])
         sizes = np.minimum(WINDOW, lengths[ks] - ats)
-        tags[np.arange(WINDOW) >= sizes[:, None]] = 0
-        rows = np.flatnonzero(tags.any(axis=1))
-        tags = tags[rows]
-        gaps = np.take_along_axis(emit[:, :, rows].transpose(2, 0, 1), tags[:, :, None], 2)[:, :, 0]
-        yield ks[rows], ats[rows], sizes[rows], tags.astype(np.uint8), gaps
-
-
-def model_spans(model: dict, texts: list[str], margin: float = 0.0) -> list[list[tuple[float, int, int, int]]]:
-    """(sureness, start, kind's index, end) for each text.
+        rows, tags, gaps = best(model, window, sizes)
+        yield ks[rows], ats[rows], sizes[rows], tags, gaps
+
+
+def marked(text: str, n: int) -> np.ndarray:
+    """Which of a text's n windows hold some of a mark, in order."""
+    spans = [m.span() for place in PLACES for m in place.finditer(text)]
+    if not spans:
+        return np.empty(0, dtype=np.int64)
+    first, end = np.array(spans).T
+    change = np.zeros(n + 1, dtype=np.int64)
+    np.add.at(change, np.clip(first // STRIDE - 1, 0, n - 1), 1)
+    np.add.at(change, np.minimum((end - 1) // STRIDE, n - 1) + 1, -1)
+    return np.flatnonzero(np.cumsum(change[:-1]))
+
+
+def near(model: dict, texts: list[str]) -> Iterator[tuple[np.ndarray, ...]]:
+    """What ``decoded`` gives, but only of windows with a mark, and of those next to a window that is run and has a tag where the two
+    are laid together: a run of tags that holds a mark is whole, and no run is cut.
+
+    Windows have numbers in order over all texts. PART of the marked ones are taken at a time; these with their neighbours reach as far as
+    ``reach``, over whose end no tag goes, so that the next ones start behind it."""
+    lengths, edge = np.array([len(t) for t in texts], dtype=np.int64), STRIDE // 2
+    counts = np.where(lengths > 0, -(-np.maximum(lengths - STRIDE, 1) // STRIDE), 0)
+    ends = np.cumsum(counts)
+    wanted = np.concatenate([np.empty(0, dtype=np.int64), *(marked(t, n) + end - n for t, n, end in zip(texts, counts.tolist(), ends.tolist(), strict=True))])
+    reach = -1
+    for first in range(0, len(wanted), PART):
+        held, known = [], np.empty(0, dtype=np.int64)
+        new = wanted[first : first + PART]
+        new = new[new > reach]
+        while len(new):
+            ks = np.searchsorted(ends, new, side="right")
+            before = new - ends[ks] + counts[ks]  # of its text
+            ats = before * STRIDE
+            sizes = np.minimum(WINDOW, lengths[ks] - ats)
+            window = codes("".join(texts[k][at : at + WINDOW].ljust(WINDOW, "\0") for k, at in zip(ks.tolist(), ats.tolist(), strict=True))).astype(np.uint8).reshape(-1, WINDOW)
+            window[np.arange(WINDOW) >= sizes[:, None]] = 0
+            rows, tags, gaps = best(model, window, sizes)
+            held.append((new[rows], ks[rows], ats[rows], sizes[rows], tags, gaps))
+            known = np.union1d(known, new)
+            left = (before[rows] > 0) & (tags[:, edge] > 0)
+            right = (before[rows] < counts[ks[rows]] - 1) & (tags[:, WINDOW - edge - 1] > 0)
+            new = np.setdiff1d(np.concatenate([new[rows][left] - 1, new[rows][right] + 1]), known)
+            new = new[new > reach]
+        if held:
+            reach = int(known[-1])
+            order, *part = map(np.concatenate, zip(*held, strict=True))
+            yield tuple(x[np.argsort(order)] for x in part)
+
+
+def model_spans(model: dict, texts: list[str], margin: float = 0.0, shaped: bool = False) -> list[list[tuple[float, int, int, int]]]:
+    """(sureness, start, kind's index, end) for each text; if ``shaped``, all of those that hold a plausible shape, and not all others.
 
     Spans that a window sees whole come from that window. Besides, overlapping windows are laid together: each character has the tag
     of the window that it is in the middle of, so that spans of any length, at any place, are read across windows."""
@@ -496,7 +560,7 @@ def model_spans(model: dict, texts: list[str], margin: float = 0.0) -> list[list
         put(columns, np.ones(len(start), dtype=bool), ks[row[start]], ats[row[start]] + column[start] - 1)
 
     rest: tuple[np.ndarray, ...] | None = None  # the last windows, whose spans may go on
-    for part in decoded(model, texts):
+    for part in (near if shaped else decoded)(model, texts):
         whole(*part)
         part = part if rest is None else tuple(map(np.concatenate, zip(rest, part, strict=True)))
         closed = np.flatnonzero(part[3][:, WINDOW - edge - 1] == 0)
@@ -552,7 +616,7 @@ def find_spans(docs: DataFrame, model: dict, text: str = "text", spans: str = "s
             values = batch.column(at).to_pylist()
             texts = [v or "" for v in values]
             bases = [base_spans(t) if TRIGGER.search(t) else [] for t in texts]
-            spans_ = [reconcile(t, b, f) for t, b, f in zip(texts, bases, model_spans(held.value, texts), strict=True)]
+            spans_ = [reconcile(t, b, f) for t, b, f in zip(texts, bases, model_spans(held.value, texts, shaped=True), strict=True)]
             if redacted:
                 new = [[None if v is None else covered(v, s) for v, s in zip(values, spans_, strict=True)]]
             else:

@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import numpy as np
 from hypothesis import given, settings, strategies as st
 
 from promptloom.llm import pii
@@ -229,3 +230,55 @@ def test_long_tagged_runs_stay_linear():
     base = pii.base_spans(many)
     assert pii.reconcile(many, base, [(1.0, s, k, e) for s, k, e in base]) == base
     assert time.process_time() - began < 20
+
+
+PIECES = ["a", "B9", "_", "%", "-", "+", " ", " ", "@", " at ", "(at)", " [AT] ", "at", " dot ", "[.]", " . ", "(Dot)", ".", "/", ":", "::", "(", ")", "org", "x.y", "é", "12", "7", "192", "2001", "db8", "415 555", "4111 1111 1111 1111", "1.2.3.4"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=12).map("".join))
+def test_whatever_is_plausible_holds_a_mark(text):
+    marks = {p for place in pii.PLACES for m in place.finditer(text) for p in range(*m.span())}
+    for first in range(len(text)):
+        for last in range(first + 1, len(text) + 1):
+            for kind, shape in enumerate(pii.SHAPES):
+                m = shape.search(text[first:last])
+                if m and pii.plausible(kind, m[0]):
+                    assert marks & set(range(first + m.start(), first + m.end())), (text, m[0])
+
+
+def test_spans_near_marks_are_those_of_all_windows(monkeypatch):
+    made = [t for t, _ in pii.generated(60, 17)]
+    plain_, name = "lorem ipsum dolor sit amet " * 20, "y" * 900 + " (at) example (dot) org"
+    texts = [*made[:20], *(plain_.join(made[k : k + 5]) for k in range(20, 60, 5)), *(t for t, _ in CASES), "", "a", plain_]
+    texts += [plain_ + name + " " + plain_, name, plain_ + "1" * 600 + " 415 555 2671 " * 40, *(plain_[:lead] + "call (415) 555-2671 or john (at) example.org" for lead in range(40, 150, 9))]
+    model = pii.train()
+    for bias in (0, 2, 4):  # what tags more has longer runs over more windows
+        eager = model | {"bias": model["bias"] + np.float32(bias) * (np.arange(pii.TAGS) > 0)}
+        spans = lambda found: [pii.reconcile(t, pii.base_spans(t), f) for t, f in zip(texts, found, strict=True)]  # noqa: B023, E731
+        monkeypatch.setattr(pii, "PART", 4096)
+        every = pii.model_spans(eager, texts)
+        assert bias or any(len(s) > len(pii.base_spans(t)) for s, t in zip(spans(every), texts, strict=True))
+        for part in (1, 3, 4096):
+            monkeypatch.setattr(pii, "PART", part)
+            some = pii.model_spans(eager, texts, shaped=True)
+            assert all({f[1:] for f in s} <= {f[1:] for f in e} for s, e in zip(some, every, strict=True))
+            assert spans(some) == spans(every), (bias, part)
+
+
+def test_windows_that_can_hold_no_span_are_not_run(monkeypatch):
+    run, text = [], "lorem ipsum at dolor 2024, sit amet. " * 400
+    text += "call (415) 555-2671 now. " + text
+    monkeypatch.setattr(pii, "best", lambda model, window, sizes, whole=pii.best: run.append(len(window)) or whole(model, window, sizes))
+    found = pii.model_spans(pii.train(), [text], shaped=True)[0]
+    start = text.index("(415)")
+    assert pii.reconcile(text, pii.base_spans(text), found) == [(start, 3, start + 14)] and sum(run) <= 5
+
+
+def test_marks_stay_linear():
+    import time
+
+    began = time.process_time()
+    for text in ("1" + " " * 500_000, "1 " * 500_000, "@" * 500_000, "@" + "a" * 500_000, " at" * 200_000, ":" * 500_000, "1." * 300_000, "1234567" * 50_000, ("1" + " " * 50_000) * 9):
+        pii.marked(text, -(-(len(text) - pii.STRIDE) // pii.STRIDE))
+    assert time.process_time() - began < 20
